@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space between words: space, and tab to carriage return. Fixed by the operators' contracts.
 SPACE = r"[ \t-\r]"
@@ -81,3 +82,7 @@ def keep_clear(df: DataFrame, reserved: list[str]) -> DataFrame:
 def let(value: Column, body) -> Column:
     """body(value), with value computed once and held as a lambda variable rather than inlined where it is used."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def extend(schema: T.StructType, ddl: str) -> T.StructType:
+    return T.StructType([*schema.fields, *T.StructType.fromDDL(ddl).fields])

@@ -6,11 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import op9_byte_bpe
+from .chat import op2_chat_format
+from .media import op1_media_columns
 from .rules import op8_quality_rules
+from .sharding import op3_external_shuffle
 from .sql import OP8_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_media_columns": op1_media_columns,
+    "op2_chat_format": op2_chat_format,
+    "op3_external_shuffle": op3_external_shuffle,
     "op8_quality_rules": op8_quality_rules,
+    "op9_byte_bpe": op9_byte_bpe,
 }
 ORACLE_SQL: dict[str, str] = {
     "op8_quality_rules": OP8_SQL,

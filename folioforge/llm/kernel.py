@@ -102,9 +102,9 @@ def shingle_sets(texts: pa.Array, width: int = 5) -> Iterator[np.ndarray]:
         if b - a >= width:
             yield np.unique(every[a : b - width + 1])
         elif b > a:
-            total = np.uint64(b - a)
-            for h in hashes[a:b]:
-                total = total * _BASE + h
-            yield mix(np.array([total], np.uint64))
+            total = np.array([b - a], np.uint64)
+            for k in range(a, b):
+                total = total * _BASE + hashes[k : k + 1]
+            yield mix(total)
         else:
             yield np.zeros(0, np.uint64)

@@ -22,9 +22,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, spread, text_of
+from .kernel import blocks
 
 #: Encoded pieces kept per worker; beyond it the memo starts anew.
-MEMO_PIECES = 500_000
+MEMO_PIECES = 200_000
+#: Bytes of text or ids taken at once.
+BLOCK = 1 << 20
 
 
 class BytePairCodec:
@@ -152,7 +155,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str = public_tokenizer
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(path, pattern)
-        for batch in batches:
+        for batch in (s for b in batches for s in blocks(b, 1, BLOCK)):
             ids = [coder.encode(t.as_py()) for t in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array(ids, pa.binary())], names=[key, "ids"])
 
@@ -165,7 +168,7 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str = public_tokeni
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(path, pattern)
-        for batch in batches:
+        for batch in (s for b in batches for s in blocks(b, 1, BLOCK)):
             out = [None if x is None else coder.decode(x) for x in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=[key, "ids", "decoded"])
 

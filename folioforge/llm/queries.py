@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op9_byte_bpe
 from .chat import op2_chat_format
+from .jaccard import op10_ngram_jaccard
 from .media import op1_media_columns
 from .rules import op8_quality_rules
+from .secrets import op6_secret_scan
 from .sharding import op3_external_shuffle
 from .sql import OP8_SQL
 
@@ -17,8 +19,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
     "op2_chat_format": op2_chat_format,
     "op3_external_shuffle": op3_external_shuffle,
+    "op6_secret_scan": op6_secret_scan,
     "op8_quality_rules": op8_quality_rules,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 ORACLE_SQL: dict[str, str] = {
     "op8_quality_rules": OP8_SQL,

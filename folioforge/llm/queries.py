@@ -10,6 +10,7 @@ from .bpe import op9_byte_bpe
 from .chat import op2_chat_format
 from .jaccard import op10_ngram_jaccard
 from .media import op1_media_columns
+from .packing import op7_best_fit_packing
 from .rules import op8_quality_rules
 from .secrets import op6_secret_scan
 from .sharding import op3_external_shuffle
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": op2_chat_format,
     "op3_external_shuffle": op3_external_shuffle,
     "op6_secret_scan": op6_secret_scan,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op8_quality_rules": op8_quality_rules,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_ngram_jaccard": op10_ngram_jaccard,

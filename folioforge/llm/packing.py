@@ -244,7 +244,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> D
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     where = places(solve_configurations(counts, capacity, rounds))
     ranked = rank_in_length(pieces, sum(counts.values()))
-    names = [*pieces.columns, "sequence_id", "offset"]
+    columns = pieces.columns
+    names = [*columns, "sequence_id", "offset"]
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +256,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> D
             inner = rank - where["first"][run_of]
             each = where["each"][run_of]
             made = [where["sequence"][run_of] + inner // each, where["offset"][run_of] + inner % each * n]
-            yield pa.record_batch([*(batch.column(c) for c in pieces.columns), *(pa.array(m, pa.int64()) for m in made)], names=names)
+            yield pa.record_batch([*(batch.column(c) for c in columns), *(pa.array(m, pa.int64()) for m in made)], names=names)
 
     return ranked.mapInArrow(run, ddl)
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op9_byte_bpe
 from .chat import op2_chat_format
+from .gam import op4_quality_classifier
 from .jaccard import op10_ngram_jaccard
 from .media import op1_media_columns
 from .packing import op7_best_fit_packing
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
     "op2_chat_format": op2_chat_format,
     "op3_external_shuffle": op3_external_shuffle,
+    "op4_quality_classifier": op4_quality_classifier,
     "op6_secret_scan": op6_secret_scan,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_quality_rules": op8_quality_rules,

@@ -15,6 +15,7 @@ from .packing import op7_best_fit_packing
 from .rules import op8_quality_rules
 from .secrets import op6_secret_scan
 from .sharding import op3_external_shuffle
+from .toxicity import op5_toxicity
 from .sql import OP8_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": op2_chat_format,
     "op3_external_shuffle": op3_external_shuffle,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_toxicity": op5_toxicity,
     "op6_secret_scan": op6_secret_scan,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_quality_rules": op8_quality_rules,

@@ -27,12 +27,13 @@ from .gam import _map_texts, key_crc, training_rows
 TOXIC_ROWS, ORDINARY_ROWS = 2_000, 3_000
 #: Bytes in a window, and how many it shares with the next, so that a cut splits no short word in both.
 WINDOW, OVERLAP = 96, 14
-GRAM = 5
-#: A byte run marks toxic words if so large a share of toxic documents has it, and so many times the share of ordinary ones.
-LEAST_SHARE, LEAST_LIFT = 0.01, 6.0
+#: A run of so many bytes marks toxic words if so large a share of toxic documents has it, and so many times the share of
+#: ordinary ones.
+RUNS, LEAST_SHARE, LEAST_LIFT = (5, 7), 0.03, 5.0
 ORDINARY_BYTES = 8192
-#: (bytes, segment size) of toxic dictionaries that are tried; the one that parts the calibration rows best is kept.
-SHAPES = ((1024, 16), (2048, 16), (1024, 32), (4096, 64))
+#: Bytes of the trained toxic dictionary, and bytes of the commonest stretches that follow it, for what training left out;
+#: the pair that parts the calibration rows best is kept.
+SHAPES = ((512, 0), (512, 512), (512, 1024), (512, 3072))
 #: Saved bytes from which a window counts as a hit, for three of the document's features.
 HITS = (3, 4, 5)
 #: A false alarm weighs as so many misses when the threshold is set.
@@ -58,24 +59,13 @@ def compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=loaded, compression_params=parameters)
 
 
-def _grams(text: str) -> set[bytes]:
-    found: set[bytes] = set()
-    for word in set(_WORD.findall(text.lower())):
-        b = f" {word} ".encode()
-        found.update(b[i : i + GRAM] for i in range(max(1, len(b) - GRAM + 1)))
-    return found
+def _runs(word: bytes) -> set[tuple[int, int]]:
+    """(start, end) of the byte runs of a word, spaces around it included, that may mark it as toxic."""
+    return {(i, i + n) for n in RUNS for i in range(len(word) - n + 1)}
 
 
-def _stretches(word: bytes, marked: set[bytes]) -> list[bytes]:
-    """Longest stretches of a word in which every run of GRAM bytes is marked, or which overlapping marked runs make up."""
-    out, start, end = [], None, 0
-    for i in range(max(1, len(word) - GRAM + 1)):
-        if word[i : i + GRAM] in marked:
-            start, end = (i if start is None else start), i + GRAM
-        elif start is not None and i >= end:
-            out.append(word[start:end])
-            start = None
-    return [*out, word[start:end]] if start is not None else out
+def _words(text: str) -> set[bytes]:
+    return {f" {w} ".encode() for w in _WORD.findall(text.lower())}
 
 
 def toxic_stretches(toxic: list[str], ordinary: list[str]) -> Counter[bytes]:
@@ -83,12 +73,24 @@ def toxic_stretches(toxic: list[str], ordinary: list[str]) -> Counter[bytes]:
     in_toxic, in_ordinary = Counter(), Counter()
     for texts, count in ((toxic, in_toxic), (ordinary, in_ordinary)):
         for t in texts:
-            count.update(_grams(t))
+            count.update({w[a:b] for w in _words(t) for a, b in _runs(w)})
     least = max(3, LEAST_SHARE * len(toxic))
-    marked = {g for g, n in in_toxic.items() if n >= least and n / len(toxic) >= LEAST_LIFT * (in_ordinary[g] + 1) / (len(ordinary) + 1)}
+    lifted = lambda r, n: n / len(toxic) >= LEAST_LIFT * (in_ordinary[r] + 1) / (len(ordinary) + 1)
+    marked = {r for r, n in in_toxic.items() if n >= least and lifted(r, n)}
+
+    def stretches(word: bytes) -> set[bytes]:
+        inside = sorted((a, b) for a, b in _runs(word) if word[a:b] in marked)
+        out, start, end = set(), None, 0
+        for a, b in inside:
+            if start is not None and a > end:
+                out.add(word[start:end])
+                start = None
+            start, end = (a if start is None else start), max(end, b)
+        return out | {word[start:end]} if start is not None else out
+
     found: Counter[bytes] = Counter()
     for t in toxic:
-        found.update({s for word in set(_WORD.findall(t.lower())) for s in _stretches(f" {word} ".encode(), marked)})
+        found.update({s for w in _words(t) for s in stretches(w)})
     return found
 
 
@@ -100,6 +102,15 @@ def _train(size: int, samples: list[bytes], **shape) -> bytes:
         return b"".join(samples)[-size:]
 
 
+def _commonest(stretches: Counter[bytes], size: int) -> bytes:
+    """The commonest stretches that are in none before them, the commonest last, where matches cost least."""
+    out = b""
+    for stretch, _ in sorted(stretches.items(), key=lambda s: (-s[1], s[0])):
+        if stretch not in out and len(out) + len(stretch) <= size:
+            out = stretch + out
+    return out
+
+
 @dataclass
 class ToxicityModel:
     ordinary: bytes = b""
@@ -155,12 +166,12 @@ class ToxicityModel:
             return cls(constant=min(share, 0.49))
         learned = lambda texts: [t for i, t in enumerate(texts) if i % 3]
         ordinary_bytes = _train(ORDINARY_BYTES, [w for t in learned(ordinary) for w in windows(t)][:40_000])
-        stretches = sorted(toxic_stretches(learned(toxic), learned(ordinary)).items())
-        samples = [s for s, n in stretches for _ in range(n)]
+        stretches = toxic_stretches(learned(toxic), learned(ordinary))
+        samples = [s for s, n in sorted(stretches.items()) for _ in range(n)]
         check, y = toxic[::3] + ordinary[::3], np.array([1.0] * len(toxic[::3]) + [0.0] * len(ordinary[::3]))
         best, found = -np.inf, None
-        for size, segment in SHAPES:
-            model = cls(ordinary_bytes, _train(size, samples, k=segment, d=6))
+        for size, more in SHAPES:
+            model = cls(ordinary_bytes, _train(size, samples, k=16, d=6) + _commonest(stretches, more))
             gain = model.calibrate(model.features(check), y)
             if gain > best:
                 best, found = gain, model

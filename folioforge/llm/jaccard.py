@@ -5,9 +5,10 @@ the order goes from rare to frequent. Two sets that are similar enough share a s
 (the prefix), so only shingles of the leading fragments are counted and compared. For pairs that share one, the
 overlap is counted in each fragment by itself and summed per pair, which is exact.
 
-Equal sets are one class from the start. Candidates are checked in two steps: first each prefix list only against its
-least member, which joins copies of one text into components with as many checks as there are copies; then all pairs
-of a list that are not in one component yet.
+Equal sets are one class from the start. Candidates are checked in two steps: first each prefix list only against one
+member, drawn for that list, which joins copies of one text into components with as many checks as lists have members;
+then all pairs of a list that are not in one component yet. Pairs that cannot link by a parity sketch of their sets go
+before any is counted: each shingle in one set only flips one bit, so that the bits that differ are no more than those.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from .kernel import blocks, shingle_sets
 FRAGMENTS, LEADING = 8, 3
 #: Bits of the filter that is broadcast to fetch candidates' texts: 4 MB whatever the input; a full filter drops nothing.
 FILTER_BITS = 1 << 25
+#: 64-bit words of a parity sketch.
+SKETCH = 16
 BLOCK = 1 << 20
 _TOP = np.uint64(1 << 63)
 #: Shingles are kept as signed numbers in the order of the unsigned hashes; leading ones lie below this.
@@ -38,6 +41,11 @@ def _signed(hashes: np.ndarray) -> np.ndarray:
     return (hashes ^ _TOP).view(np.int64)
 
 
+def _sketch(hashes: np.ndarray) -> np.ndarray:
+    bits = np.bincount((hashes & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def _set_id(ordered: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(ordered.tobytes(), digest_size=8).digest(), "little", signed=True)
 
@@ -53,16 +61,16 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def shingle_table(docs: DataFrame, percent: int, key: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
-    """(doc_id, n, sid, leading, n_leading): set size, id of the set, and its shingles in the leading fragments.
+    """(doc_id, n, sid, leading, n_leading, sketch): set size, id of the set, and its shingles in the leading fragments.
 
     Where those are fewer than the prefix, leading holds the whole set. Of equal sets within a task only the first
-    carries leading. Two different sets share an id with a chance of 2^-64 a pair.
+    carries leading and sketch. Two different sets share an id with a chance of 2^-64 a pair.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in (s for b in batches for s in blocks(b, 1, BLOCK)):
-            sizes, ids, heads, head_sizes = [], [], [], []
+            sizes, ids, heads, head_sizes, sketches = [], [], [], [], []
             for hashes in shingle_sets(batch.column(1), width):
                 n, ordered = len(hashes), _signed(hashes)
                 sid = _set_id(ordered) if n else None
@@ -72,11 +80,12 @@ def shingle_table(docs: DataFrame, percent: int, key: str = "doc_id", text: str
                 sizes.append(n)
                 ids.append(sid)
                 head_sizes.append(lead)
+                sketches.append(_sketch(hashes) if fresh else ordered[:0])
                 heads.append((ordered if lead < prefix_length(n, percent) else ordered[:lead]) if fresh else ordered[:0])
-            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), _lists(heads), pa.array(head_sizes, pa.int64())], names=["doc_id", "n", "sid", "leading", "n_leading"])
+            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), _lists(heads), pa.array(head_sizes, pa.int64()), _lists(sketches)], names=["doc_id", "n", "sid", "leading", "n_leading", "sketch"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), text_of(text).alias("__text")).mapInArrow(run, f"doc_id {kind}, n long, sid long, leading array<long>, n_leading long")
+    return docs.select(F.col(key), text_of(text).alias("__text")).mapInArrow(run, f"doc_id {kind}, n long, sid long, leading array<long>, n_leading long, sketch array<long>")
 
 
 def prefix_lists(table: DataFrame, percent: int) -> DataFrame:
@@ -109,22 +118,34 @@ def _can_link(percent: int, n1: str, place1: str, n2: str, place2: str) -> Colum
     )
 
 
-def star_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) of each list's least set id with each other member."""
-    first = F.first(F.struct("sid", "n", "place")).over(Window.partitionBy("s").orderBy("sid"))
+def sketches(table: DataFrame) -> DataFrame:
+    return table.filter("size(sketch) > 0").select("sid", "n", "sketch").dropDuplicates(["sid"])
+
+
+def _near(percent: int, n1: str, sketch1: str, n2: str, sketch2: str) -> Column:
+    """Whether the sketches leave room for a link: of linking sets, so many shingles at most are in one only."""
+    apart = " + ".join(f"bit_count({sketch1}[{i}] ^ {sketch2}[{i}])" for i in range(SKETCH))
+    return F.expr(f"{100 + percent} * ({apart}) <= {100 - percent} * ({n1} + {n2})")
+
+
+def star_pairs(lists: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of each list's head, drawn by hash, with each other member that it may link with."""
+    first = F.first(F.struct("sid", "n", "place")).over(Window.partitionBy("s").orderBy(F.xxhash64("sid", "s"), "sid"))
     led = lists.withColumn("head", first).filter("sid <> head.sid").filter(_can_link(percent, "n", "place", "head.n", "head.place"))
-    return led.select(F.col("head.sid").alias("a"), F.col("sid").alias("b")).distinct()
+    pairs = led.select(F.least("head.sid", "sid").alias("a"), F.greatest("head.sid", "sid").alias("b")).distinct()
+    of = lambda side: marks.select(F.col("sid").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").filter(_near(percent, "na", "sa", "nb", "sb")).select("a", "b")
 
 
-def open_pairs(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b), a < b, that share a list and have different labels."""
+def open_pairs(lists: DataFrame, labels: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b), a < b, that share a list, have different labels, and may link."""
     named = lists.join(labels.select(F.col("a").alias("sid"), "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     every = Window.partitionBy("s")
     mixed = named.withColumn("low", F.min("label").over(every)).withColumn("high", F.max("label").over(every)).filter("low <> high")
-    mixed = mixed.select("s", "sid", "n", "place", "label")
-    other = mixed.select("s", *(F.col(c).alias(f"{c}2") for c in ("sid", "n", "place", "label")))
+    mixed = mixed.select("s", "sid", "n", "place", "label").join(marks.select("sid", "sketch"), "sid")
+    other = mixed.select("s", *(F.col(c).alias(f"{c}2") for c in ("sid", "n", "place", "label", "sketch")))
     met = mixed.join(other, "s").filter("sid < sid2 AND label <> label2").filter(_can_link(percent, "n", "place", "n2", "place2"))
-    return met.select(F.col("sid").alias("a"), F.col("sid2").alias("b")).distinct()
+    return met.filter(_near(percent, "n", "sketch", "n2", "sketch2")).select(F.col("sid").alias("a"), F.col("sid2").alias("b")).distinct()
 
 
 def _maybe_among(docs: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
@@ -180,9 +201,10 @@ def jaccard_components(docs: DataFrame, percent: int = 80, key: str = "doc_id",
     """
     table = stage_table(shingle_table(docs, percent, key, text, width), "shingles")
     lists = stage_table(prefix_lists(table, percent), "prefixes")
-    stars = stage_table(star_pairs(lists, percent), "stars")
+    marks = sketches(table)
+    stars = stage_table(star_pairs(lists, marks, percent), "stars")
     star_links = stage_table(linked(stars, segments(docs, table, stars, key, text, width), percent), "links")
-    rest = open_pairs(lists, components(star_links), percent).join(stars, ["a", "b"], "left_anti").join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
+    rest = open_pairs(lists, components(star_links), marks, percent).join(stars, ["a", "b"], "left_anti")
     rest = stage_table(rest, "pairs")
     rest_links = linked(rest, segments(docs, table, rest, key, text, width), percent)
     labels = components(star_links.unionByName(rest_links))

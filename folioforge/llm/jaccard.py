@@ -148,14 +148,15 @@ def open_pairs(lists: DataFrame, labels: DataFrame, marks: DataFrame, percent: i
     return met.filter(_near(percent, "n", "sketch", "n2", "sketch2")).select(F.col("sid").alias("a"), F.col("sid2").alias("b")).distinct()
 
 
-def _maybe_among(docs: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """Rows of docs whose key may be among wanted's: a filter of FILTER_BITS bits, broadcast in pieces of 4 kB."""
+def flag_maybe(docs: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """docs with __maybe: false if the key is surely not among wanted's. A filter of FILTER_BITS bits, broadcast in pieces of 4 kB."""
     bit = F.pmod(F.xxhash64(F.col(key)), F.lit(FILTER_BITS)) + 1
     pieces = wanted.select(bit.alias("bit")).groupBy(F.expr("bitmap_bucket_number(bit)").alias("__piece")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("__bits"))
     marked = docs.withColumn("__bit", bit).withColumn("__piece", F.expr("bitmap_bucket_number(__bit)"))
     byte = F.conv(F.hex(F.expr("substring(__bits, cast(bitmap_bit_position(__bit) div 8 + 1 as int), 1)")), 16, 10).cast("int")
     mask = F.expr("shiftleft(1, cast(bitmap_bit_position(__bit) % 8 as int))")
-    return marked.join(F.broadcast(pieces), "__piece").filter(byte.bitwiseAND(mask) != 0).select(*docs.columns)
+    found = F.coalesce(byte.bitwiseAND(mask) != 0, F.lit(False))
+    return marked.join(F.broadcast(pieces), "__piece", "left").select(*docs.columns, found.alias("__maybe"))
 
 
 def segments(docs: DataFrame, table: DataFrame, pairs: DataFrame, key: str, text: str, width: int) -> DataFrame:
@@ -164,7 +165,7 @@ def segments(docs: DataFrame, table: DataFrame, pairs: DataFrame, key: str, text
     holders = table.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id")).join(wanted, "sid")
     holders = stage_table(holders.select("sid", "doc_id"), "holders")
     picked = docs.select(F.col(key).alias("doc_id"), text_of(text).alias("__text"))
-    near = _maybe_among(picked, "doc_id", holders).join(holders.hint("shuffle_hash"), "doc_id")
+    near = flag_maybe(picked, "doc_id", holders).filter("__maybe").drop("__maybe").join(holders.hint("shuffle_hash"), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = [i * (1 << 64) // FRAGMENTS - (1 << 63) for i in range(1, FRAGMENTS)]
@@ -221,5 +222,20 @@ def _with_components(table: DataFrame, labels: DataFrame) -> DataFrame:
     return done.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def keep_one(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """One document of each component of jaccard_components: that of the least key, and one row of each key.
+
+    Only rows whose key may be a dropped or a repeated one are shuffled. Rows of null key have no place in a class by
+    their key, and stay.
+    """
+    suspects = classes.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("heads"))
+    suspects = stage_table(suspects.filter("rows > 1 OR heads = 0").select("doc_id", "heads"), "suspects")
+    flagged = flag_maybe(docs, "doc_id", suspects)
+    clear = flagged.filter("NOT __maybe").drop("__maybe")
+    doubtful = flagged.filter("__maybe").drop("__maybe").join(suspects, "doc_id", "left").filter("heads IS NULL OR heads = 1")
+    single = doubtful.filter("heads = 1").withColumn("__row", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).filter("__row = 1")
+    return clear.unionByName(doubtful.filter("heads IS NULL").select(docs.columns)).unionByName(single.select(docs.columns))
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spread(documents(spark, sf_dir)))

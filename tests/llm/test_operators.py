@@ -127,7 +127,7 @@ def test_fisher_yates_is_uniform():
 def labelled(spark):
     good = [(i, f"{PARAGRAPH} number {i} of many lines that differ {i * 7} in the middle of it all.", 1, 0) for i in range(100, 220)]
     bad = [(i, f"buy$$$ now### cheap*** {i} " * 12, 0, 0) for i in range(220, 300)]
-    toxic = [(i, f"{PARAGRAPH} you are a worthless clown and a stupid idiot {i} {PARAGRAPH}", 1, 1) for i in range(300, 380)]
+    toxic = [(i, f"{PARAGRAPH} you are a worthless clown and a stupid idiot {i}", 1, 1) for i in range(300, 380)]
     rows = good + bad + toxic
     docs = spark.createDataFrame([(k, t) for k, t, _, _ in rows], "doc_id long, text string").repartition(3)
     return docs, spark.createDataFrame([(k, q, x) for k, _, q, x in rows], "doc_id long, quality int, toxic int")

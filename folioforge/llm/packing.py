@@ -11,6 +11,7 @@ their length, which needs no plan but the configurations.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -28,9 +29,13 @@ from .common import documents, spread, stage_table, text_of
 from .kernel import blocks
 
 CAPACITY = 2048
-BLOCK = 1 << 20
-#: Words whose ids a worker keeps; beyond it the memo starts anew.
-MEMO_WORDS = 200_000
+BLOCK = 4 << 20
+#: Words, and words without end marks, whose ids a worker keeps; beyond it the memo starts anew.
+MEMO_WORDS = 400_000
+#: Marks at a word's end that are symbols to the tokenizer, and so never join a letter before them.
+END_MARKS = ".,!?;:%&*$#|"
+#: Stands between words that are encoded together; no word holds it.
+BETWEEN = "\ue000"
 #: Programs solved at most, configurations traced from each, and how fast a price falls as its length is covered.
 ROUNDS, TRACES, RATE = 300, 16, 1.0
 #: Share of the scarcest length's rest that a configuration takes at once; share of each length that rounding leaves over.
@@ -41,15 +46,69 @@ CELL = 20_000
 Configuration = tuple[tuple[int, int], ...]
 
 
+def _byte_letters() -> dict[int, int]:
+    """The letter that byte-level tokenizers write for each byte: itself where it is visible, else one from 256 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: b for b in visible} | {b: 256 + i for i, b in enumerate(hidden)}
+
+
 class WordIds:
-    """Ids of texts by a tokenizer that never looks across white space; a word's ids are computed once."""
+    """Ids of texts by a tokenizer that never looks across white space; a word's ids are computed once.
+
+    A word's end marks are looked up by themselves, as most words occur with some and without.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, np.ndarray] = {}
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+        self.between = np.array(self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids, np.uint32)
+        self.memo: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+
+    @staticmethod
+    def _cut(word: str) -> tuple[str, str]:
+        stem = word.rstrip(END_MARKS)
+        if len(stem) < len(word) and not stem[-1:].isalpha():
+            stem = word
+        return (stem.lower() if stem.isascii() else stem), word[len(stem) :]
+
+    def _encode(self, some: list[str]) -> list[bytes]:
+        """Ids of each of some strings, by one call for all, cut where the mark between them stands."""
+        if not any(BETWEEN in s for s in some):
+            ids = np.array(self.tokenizer.encode(f" {BETWEEN} ".join(some), add_special_tokens=False).ids, np.uint32)
+            n = len(self.between)
+            hit = np.ones(max(0, len(ids) - n + 1), bool)
+            for k in range(n):
+                hit &= ids[k : len(ids) - n + 1 + k] == self.between[k]
+            at = np.flatnonzero(hit)
+            if len(at) == len(some) - 1:
+                raw, starts, ends = ids.tobytes(), [0, *(at + n)], [*at, len(ids)]
+                return [raw[4 * a : 4 * b] for a, b in zip(starts, ends, strict=True)]
+        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+
+    def _learn(self, fresh: list[str]) -> None:
+        if len(self.stems) + len(fresh) > MEMO_WORDS:
+            self.stems.clear()
+        cut = [self._cut(w) for w in fresh]
+        new = list({part for pair in cut for part in pair if part and part not in self.stems})
+        other = []
+        for stem in new:
+            # Lower-case letters alone pass normalizing and splitting unchanged, and go to the merges at once.
+            if stem.isalpha() and stem.lower() == stem and unicodedata.is_normalized("NFC", stem):
+                raw = stem if stem.isascii() else stem.encode().decode("latin-1").translate(self.letters)
+                self.stems[stem] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(raw)])
+            else:
+                other.append(stem)
+        for lo in range(0, len(other), 5000):
+            some = other[lo : lo + 5000]
+            self.stems.update(zip(some, self._encode(some), strict=True))
+        self.stems[""] = b""
+        self.memo.update((w, self.stems[stem] + self.stems[marks]) for w, (stem, marks) in zip(fresh, cut, strict=True))
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets)."""
@@ -60,13 +119,10 @@ class WordIds:
         if len(self.memo) + len(fresh) > MEMO_WORDS:
             self.memo.clear()
             fresh = words
-        for lo in range(0, len(fresh), 1000):
-            some = fresh[lo : lo + 1000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.memo[w] = np.array(e.ids, np.uint32)
+        self._learn(fresh)
         ids = [self.memo[w] for w in words]
-        sizes = np.array([len(i) for i in ids], np.int64)
-        pool = np.concatenate([np.zeros(0, np.uint32), *ids])
+        pool = np.frombuffer(b"".join(ids), np.uint32)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         first = np.cumsum(sizes) - sizes
         use = coded.indices.to_numpy()
         counts = sizes[use] if len(use) else np.zeros(0, np.int64)

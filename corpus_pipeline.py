@@ -14,7 +14,7 @@ from folioforge.llm.common import documents, spread, stage_table
 from folioforge.llm.gam import learn_quality, score_quality
 from folioforge.llm.jaccard import jaccard_components, keep_one
 from folioforge.llm.packing import pack, token_pieces
-from folioforge.llm.rules import apply_rules
+from folioforge.llm.rules import keep_passing
 from folioforge.llm.secrets import mask_secrets, scan_secrets
 
 #: Documents that score less go, as in op4_quality_classifier.
@@ -23,8 +23,7 @@ LEAST_SCORE = 0.7
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule rejects."""
-    columns = docs.columns
-    return apply_rules(spread(docs), keep_columns=columns).filter("kept").select(columns)
+    return keep_passing(spread(docs))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

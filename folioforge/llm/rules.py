@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,6 +116,18 @@ def apply_rules(docs: DataFrame, thresholds=THRESHOLDS, text: str = "text", keep
     return judged.select(*(F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)), *MEASURES, "base_failed", "failed_rules", "kept")
 
 
+def keep_passing(docs: DataFrame, thresholds=THRESHOLDS, text: str = "text") -> DataFrame:
+    """Rows of docs that no rule rejects.
+
+    The verdict is one lambda over the measures: a filter over columns made from them would be pushed below them, and
+    would measure the text once for each column that it names.
+    """
+    verdict = " AND ".join([f"NOT ({BASE_FAILED})", *(f"NOT (n_words >= {least} AND ({rule}))" for _, rule, least in thresholds)])
+    bound = re.sub(rf"\b({'|'.join(MEASURES)})\b", r"m.\1", verdict)
+    measured = docs.withColumn("__measures", F.array(measure(text_of(text))))
+    return measured.filter(F.expr(f"exists(__measures, m -> {bound})")).select(docs.columns)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = apply_rules(spread(documents(spark, sf_dir)))
     return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

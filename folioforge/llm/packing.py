@@ -1,11 +1,13 @@
 """Best-fit packing of token sequences by a configuration linear program over the length histogram.
 
 A configuration is a multiset of lengths that fits one sequence. The program asks for how often to use each so that
-every length is covered as often as it occurs. Only the histogram (one count a length) goes to the driver. Multiplicative
-weights hold a price for each length, which falls with the share of it that is covered; a knapsack dynamic program finds
-configurations of the highest price, and each is taken for a part of what its scarcest length has left, rounded down. What
-rounding leaves over, a like share of every length, is packed best fit, longest first, by counts. Pieces then find their places by their rank within
-their length, which needs no plan but the configurations.
+every length is covered as often as it occurs. Only the histogram (one count a length) goes to the driver. Three plans are
+made, and the one of fewest sequences is kept: best fit, longest first; exact fills (multiplicative weights hold a price for
+each length, which falls with the share of it that is covered, and a knapsack dynamic program finds the fullest
+configurations of the highest price); and, unless one of these is within GAP of the tokens' own bound, the linear program
+itself, solved by column generation with its covering duals as prices, so that configurations need not be full. What
+rounding down leaves over is packed best fit, by counts. Pieces then find their places by their rank within their length,
+which needs no plan but the configurations.
 """
 
 from __future__ import annotations
@@ -40,6 +42,9 @@ BETWEEN = "\ue000"
 ROUNDS, TRACES, RATE = 300, 16, 1.0
 #: Share of the scarcest length's rest that a configuration takes at once; share of each length that rounding leaves over.
 SHARE, REST = 0.6, 0.2
+#: The linear program is solved until its value is within GAP of its dual bound, or for so many knapsacks; how far the prices
+#: stay at the best bound's, and columns taken from the pool of best fit at a time.
+GAP, KNAPSACKS, STAY, POOL = 0.001, 1000, 0.8, 64
 #: Pieces that one window of ranks sorts, on average.
 CELL = 20_000
 
@@ -224,19 +229,21 @@ def _best_fit(left: np.ndarray, capacity: int) -> dict[Configuration, int]:
     return {content: bins for same in by_room.values() for content, bins in same.items() if bins}
 
 
-def solve_configurations(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS, seed: int = 0) -> list[tuple[Configuration, int]]:
-    """[(configuration, times)] that use each length exactly as often as counts says. Runs on the driver, over lengths only."""
-    demand = np.zeros(capacity + 1, np.int64)
-    for n, c in counts.items():
-        if not 1 <= n <= capacity:
-            raise ValueError(f"length {n} does not fit {capacity}")
-        demand[n] = c
+def _merged(packed: dict[Configuration, int]) -> dict[Configuration, int]:
+    """Bins by content, whatever the order in which pieces came."""
+    out: dict[Configuration, int] = defaultdict(int)
+    for found, times in packed.items():
+        each: dict[int, int] = defaultdict(int)
+        for n, k in found:
+            each[n] += k
+        out[tuple(sorted(each.items(), reverse=True))] += times
+    return out
+
+
+def _exact_fills(demand: np.ndarray, capacity: int, rounds: int, rng: np.random.Generator) -> dict[Configuration, int]:
+    """A plan whose configurations fill the capacity exactly, but for a rest that is packed best fit."""
     left = demand.copy()
     chosen: dict[Configuration, int] = defaultdict(int)
-    if left[capacity]:
-        chosen[((capacity, 1),)] = int(left[capacity])
-        left[capacity] = 0
-    rng = np.random.Generator(np.random.PCG64(seed))
     rest = np.floor(left * REST + rng.random(capacity + 1)).astype(np.int64)
     left -= rest
     natural = np.arange(capacity + 1) / capacity
@@ -259,13 +266,103 @@ def solve_configurations(counts: dict[int, int], capacity: int = CAPACITY, round
                     left[n] -= k * times
         if (before == left).all():
             break
-    left += rest
-    for found, times in _best_fit(left, capacity).items():
-        merged: dict[int, int] = defaultdict(int)
-        for n, k in found:
-            merged[n] += k
-        chosen[tuple(sorted(merged.items(), reverse=True))] += times
-    return sorted(chosen.items())
+    for found, times in _merged(_best_fit(left + rest, capacity)).items():
+        chosen[found] += times
+    return chosen
+
+
+class _Program:
+    """Revised simplex over configurations: a basis of as many as there are lengths, each length covered exactly."""
+
+    def __init__(self, demand: np.ndarray, capacity: int):
+        self.sizes, self.capacity = np.flatnonzero(demand), capacity
+        self.at = {int(n): i for i, n in enumerate(self.sizes)}
+        self.demand = demand[self.sizes].astype(float)
+        each = capacity // self.sizes
+        self.basis: list[Configuration] = [((int(n), int(k)),) for n, k in zip(self.sizes, each, strict=True)]
+        self.inverse = np.diag(1.0 / each)
+        self.times, self.duals = self.demand / each, 1.0 / each
+
+    def enter(self, found: Configuration) -> bool:
+        """Take a configuration into the basis if it is worth more than one sequence by the duals."""
+        own = [self.at[n] for n, _ in found]
+        k = np.array([k for _, k in found], float)
+        if k @ self.duals[own] <= 1 + 1e-7:
+            return False
+        column = self.inverse[:, own] @ k
+        positive = np.flatnonzero(column > 1e-9)
+        ratios = self.times[positive] / column[positive]
+        out, step = positive[ratios.argmin()], ratios.min()
+        self.times = np.maximum(self.times - step * column, 0)
+        row = self.inverse[out] / column[out]
+        self.inverse -= np.outer(column, row)
+        self.inverse[out], self.times[out], self.basis[out] = row, step, found
+        self.duals = self.duals + row * (1 - column.sum())
+        return True
+
+    def solve(self, pool: list[Configuration], knapsacks: int, rng: np.random.Generator) -> None:
+        held = np.zeros((len(pool), len(self.sizes)))
+        for i, found in enumerate(pool):
+            for n, k in found:
+                held[i, self.at[n]] = k
+        for _ in range(len(pool)):
+            self.duals = self.inverse.sum(0)
+            worth = held @ self.duals
+            if not sum([self.enter(pool[i]) for i in np.argsort(-worth)[:POOL]]):
+                break
+        center, bound, stay = self.sizes / self.capacity, self.demand @ self.sizes / self.capacity, True
+        for _ in range(knapsacks):
+            if self.times.sum() <= bound * (1 + GAP):
+                break
+            self.duals = self.inverse.sum(0)
+            real = np.maximum(self.duals, 0)
+            # Prices near those of the best bound find better configurations; the duals themselves decide when none is left.
+            stayed = stay
+            used = STAY * center + (1 - STAY) * real if stayed else real
+            prices = np.zeros(self.capacity + 1)
+            prices[self.sizes] = used
+            best = _best_values(prices, self.capacity)
+            top = best[self.capacity]
+            if self.demand @ used / top > bound:
+                center, bound = used / top, self.demand @ used / top
+            hits = sum([self.enter(f) for f in {_trace(best, prices, self.capacity, 0.01 * top, rng): 0 for _ in range(TRACES)}])
+            if not hits and not stayed and top <= 1 + 1e-6:
+                break
+            stay = bool(hits) or not stayed
+
+
+def _covering(demand: np.ndarray, capacity: int, pool: list[Configuration], rng: np.random.Generator) -> dict[Configuration, int]:
+    """The plan of the linear program: its solution rounded down, and best fit for what that leaves."""
+    program = _Program(demand, capacity)
+    program.solve(pool, KNAPSACKS, rng)
+    left, chosen = demand.copy(), defaultdict(int)
+    for found, part in zip(program.basis, program.times, strict=True):
+        times = min(int(part + 1e-6), *(int(left[n]) // k for n, k in found))
+        if times:
+            chosen[found] += times
+            for n, k in found:
+                left[n] -= k * times
+    for found, times in _merged(_best_fit(left, capacity)).items():
+        chosen[found] += times
+    return chosen
+
+
+def solve_configurations(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS, seed: int = 0) -> list[tuple[Configuration, int]]:
+    """[(configuration, times)] that use each length exactly as often as counts says. Runs on the driver, over lengths only."""
+    demand = np.zeros(capacity + 1, np.int64)
+    for n, c in counts.items():
+        if not 1 <= n <= capacity:
+            raise ValueError(f"length {n} does not fit {capacity}")
+        demand[n] = c
+    whole = {((capacity, 1),): int(demand[capacity])} if demand[capacity] else {}
+    demand[capacity] = 0
+    rng = np.random.Generator(np.random.PCG64(seed))
+    plans = [_exact_fills(demand, capacity, rounds, rng), _merged(_best_fit(demand.copy(), capacity))]
+    # No plan has fewer sequences than the tokens fill.
+    bound = -(-int(demand @ np.arange(capacity + 1)) // capacity)
+    if min(sum(p.values()) for p in plans) > bound * (1 + GAP):
+        plans.append(_covering(demand, capacity, [*plans[1]], rng))
+    return sorted((whole | min(plans, key=lambda p: sum(p.values()))).items())
 
 
 def places(plan: list[tuple[Configuration, int]]) -> dict[str, np.ndarray]:

@@ -217,6 +217,25 @@ def test_configurations_use_every_length_once(seed):
     assert sum(times for _, times in plan) <= 1.05 * sum(lengths) / 2048 + 1
 
 
+@pytest.mark.parametrize(
+    "counts, most",
+    [
+        ({1025: 1000, 512: 1000}, 1000),
+        ({700: 3000, 500: 5000, 400: 2000, 1100: 800}, 3200),
+        ({1025: 500, 683: 1000, 342: 1500, 293: 900, 170: 2000}, 1135),
+        ({n: 60 + n % 7 for n in range(500, 800, 5)} | {1200: 2000, 300: 1500}, 2690),
+        ({2048: 3, 1500: 700}, 703),
+    ],
+)
+def test_sequences_on_few_and_hot_lengths(counts, most):
+    plan, used = packing.solve_configurations(counts), Counter()
+    for found, times in plan:
+        assert times > 0 and sum(n * k for n, k in found) <= 2048
+        used.update({n: k * times for n, k in found})
+    assert used == Counter(counts)
+    assert sum(times for _, times in plan) <= most
+
+
 def measures_of(text):
     words = WORD.findall(text)
     lines = [x for x in text.split("\n") if WORD.search(x)]

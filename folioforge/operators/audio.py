@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import os
+import wave
+from collections.abc import Iterator
+from itertools import groupby
+
+import numpy as np
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folioforge.functions import audio as A
+from folioforge.functions import text as T
 from folioforge.plans.config import Export, Silence
+from folioforge.sources import wav
 
 KEY = ["book_id", "chapter_number"]
 
@@ -51,6 +59,69 @@ def level_chapters(audio: DataFrame, export: Export) -> DataFrame:
     return leveled.drop("__top")
 
 
+def assembly_faults(audio: DataFrame) -> DataFrame:
+    """(KEY, fault): why a chapter cannot be assembled, null where it can: those of layout_faults, missing_audio, partial_frame or index."""
+    count = lambda c: F.count_if(c) > 0
+    partial = F.size("samples") % F.col("channels") != 0
+    each = audio.groupBy(*KEY).agg(count(F.col("samples").isNull()).alias("none"), count(partial).alias("partial"), (F.count_distinct("index") < F.count("*")).alias("twice"))
+    own = F.when(F.col("none"), "missing_audio").when(F.col("partial"), "partial_frame").when(F.col("twice"), "index")
+    return layout_faults(audio).join(each, KEY).select(*KEY, F.coalesce("fault", own).alias("fault"))
+
+
+def assemble_chapters(audio: DataFrame, silence: Silence, export: Export, strict: bool = True) -> DataFrame:
+    """Chapters as ordered blocks (KEY, index, start_frame, sample_rate, channels, samples, fault), one a segment, that follow without gaps.
+
+    audio holds KEY, index, ends_paragraph, sample_rate, channels and interleaved samples. A block is the segment with the
+    pause after it; the first begins with the prefix, the last ends with the suffix. All are scaled by one factor, which
+    brings the chapter's peak to the target. Chapters with a fault are refused, or without strict have null samples.
+    No task holds a chapter's samples; only numbers, one row a segment, are ordered and brought together.
+    """
+    key = [*KEY, "index"]
+    faults = assembly_faults(audio)
+    light = audio.select(*key, "ends_paragraph", "sample_rate", (F.size("samples") / F.col("channels")).cast("long").alias("frames"), A.peak(F.col("samples")).alias("__peak"))
+    light = light.join(faults.filter("fault IS NULL").select(KEY), KEY)
+    order, whole = Window.partitionBy(*KEY).orderBy("index"), Window.partitionBy(*KEY)
+    timed = timeline(light, silence).withColumn("__top", F.max("__peak").over(whole))
+    timed = timed.withColumns({"__first": F.lag("index").over(order).isNull(), "__last": F.lead("index").over(order).isNull()})
+    timed = timed.select(*key, "start_frame", "pause_frames", "__top", "__first", "__last")
+    none = F.array().cast("array<float>")
+    quiet = lambda frames: F.array_repeat(F.lit(0.0).cast("float"), (frames * F.col("channels")).cast("int"))
+    before = F.when(F.col("__first"), A.silence(F.col("sample_rate"), F.lit(silence.prefix), F.col("channels"))).otherwise(none)
+    after = F.when(F.col("__last"), A.silence(F.col("sample_rate"), F.lit(silence.suffix), F.col("channels"))).otherwise(quiet(F.col("pause_frames")))
+    leveled = A.scaled(F.col("samples"), A.peak_factor(F.col("__top"), export.peak))
+    start = F.when(F.col("__first"), F.lit(0).cast("long")).otherwise(F.col("start_frame"))
+    block = F.when(F.col("fault").isNull(), F.concat(before, leveled, after))
+    if strict:
+        refusal = F.raise_error(F.concat(F.lit("chapter cannot be assembled: "), "book_id", F.lit(" "), F.col("chapter_number").cast("string"), F.lit(" "), "fault"))
+        block = F.when(F.col("fault").isNotNull(), refusal.cast("array<float>")).otherwise(block)
+    joined = audio.join(faults, KEY).join(timed, key, "left")
+    return joined.select(*key, start.alias("start_frame"), "sample_rate", "channels", block.alias("samples"), "fault")
+
+
+def write_chapters(blocks: DataFrame, root: str) -> None:
+    """Blocks of assemble_chapters as one WAV file a chapter, at its output path below root, which all executors mount.
+
+    Blocks are written as they come, and a finished file is renamed, so a task that runs again writes the same files.
+    """
+
+    def run(rows: Iterator[Row]) -> None:
+        for relative, own in groupby(rows, lambda r: r["__path"]):
+            path = os.path.join(root, relative)
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            part = f"{path}.{os.getpid()}.part"
+            with open(part, "wb") as f, wave.open(f, "wb") as out:
+                for i, row in enumerate(own):
+                    if i == 0:
+                        out.setnchannels(row["channels"])
+                        out.setsampwidth(2)
+                        out.setframerate(row["sample_rate"])
+                    out.writeframes(wav.quantize(np.array(row["samples"], np.float32)).tobytes())
+            os.replace(part, path)
+
+    usable = blocks.filter("samples IS NOT NULL").withColumn("__path", T.output_path("chapter", F.col("book_id"), F.col("chapter_number")))
+    usable.repartition("__path").sortWithinPartitions("__path", "index").foreachPartition(run)
+
+
 def voice_checks(clips: DataFrame) -> DataFrame:
     """Clips (samples mono, sample_rate) with duration_seconds, clipped_ratio, warnings and fault."""
     share = F.size(F.filter("samples", lambda x: F.abs(x) >= F.lit(0.999).cast("float"))) / F.greatest(F.size("samples"), F.lit(1))

@@ -176,6 +176,16 @@ SQL: dict[str, str] = {
         (coalesce(sum(frames + pause_frames) OVER (PARTITION BY chapter_number ORDER BY index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + {_PREFIX})::BIGINT AS start_frame FROM paused""",
     "chapter_duration": f"""WITH {TIMED}, w AS (SELECT book_id, chapter_number, (sum(frames + pause_frames) + {_PREFIX} + {_SUFFIX})::BIGINT AS frames FROM paused GROUP BY ALL)
         SELECT book_id, chapter_number, 1000::BIGINT AS sample_rate, frames, frames / 1000 AS duration_seconds FROM w""",
+    "chapter_assembly": f"""WITH {SEG}, s AS (SELECT chapter_number, index, ends_paragraph, char_count, CASE WHEN chapter_number % 7 = 0 AND index = 2 THEN 2000 ELSE 1000 END AS rate,
+        list_transform(range(1, char_count + 1), lambda n: (((n * 7 + chapter_number * 13 + index * 31) % 201 - 100) / 400.0::DOUBLE)::FLOAT) AS x FROM seg),
+        c AS (SELECT chapter_number, CASE WHEN min(rate) <> max(rate) THEN 'sample_rate' END AS fault, coalesce(max(list_max(list_transform(x, lambda v: abs(v)))), 0)::DOUBLE AS top FROM s GROUP BY ALL),
+        p AS (SELECT *, lag(index) OVER o IS NULL AS is_first, CASE WHEN lead(index) OVER o IS NULL THEN {_SUFFIX} WHEN ends_paragraph THEN {_PARAGRAPH} ELSE {_BETWEEN} END AS quiet
+        FROM s JOIN c USING (chapter_number) WINDOW o AS (PARTITION BY chapter_number ORDER BY index)),
+        q AS (SELECT *, (coalesce(sum(char_count + quiet) OVER (PARTITION BY chapter_number ORDER BY index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + CASE WHEN is_first THEN 0 ELSE {_PREFIX} END)::BIGINT AS start_frame,
+        list_transform(range(CASE WHEN is_first THEN {_PREFIX} ELSE 0 END), lambda n: 0::FLOAT) || list_transform(x, lambda v: CASE WHEN top > 0 THEN (v::DOUBLE * least(0.9::DOUBLE / top, 1.0::DOUBLE / top))::FLOAT ELSE v END)
+        || list_transform(range(quiet), lambda n: 0::FLOAT) AS y FROM p)
+        SELECT chapter_number, index, CASE WHEN fault IS NULL THEN start_frame END AS start_frame, CASE WHEN fault IS NULL THEN len(y) END::BIGINT AS frames,
+        CASE WHEN fault IS NULL THEN sha256({QUANTIZED.format(x="y")}) END AS pcm_sha256, fault FROM q""",
     "audio_validate": "SELECT vec_id, CASE vec_id % 10 WHEN 0 THEN 'empty' WHEN 1 THEN 'silent' WHEN 2 THEN 'not_finite' END AS fault FROM embeddings",
     "pcm_quantize": f"SELECT vec_id, {QUANTIZED.format(x='list_transform(embedding::FLOAT[], lambda e: (e * 3::FLOAT)::FLOAT)')} AS pcm FROM embeddings",
     "pcm_roundtrip": f"""SELECT vec_id, {QUANTIZED.format(x="list_transform(embedding::FLOAT[], lambda e: (trunc(greatest(-1::FLOAT, least(1::FLOAT, e)) * 32767::FLOAT)::FLOAT / 32767::FLOAT)::FLOAT)")} AS pcm FROM embeddings""",

@@ -288,6 +288,16 @@ def chapter_duration(spark, sf_dir):
     return _longs(audio.chapter_durations(_framed(spark, sf_dir), Silence(251, 500, 401, 800)))
 
 
+def chapter_assembly(spark, sf_dir):
+    """Every turn as audio of one frame a character; some chapters with a segment of another rate are refused."""
+    wave = lambda i: (((i * 7 + F.col("chapter_number") * 13 + F.col("index") * 31) % 201 - 100) / F.lit(400.0)).cast("float")
+    samples = F.when(F.col("char_count") > 0, F.transform(F.sequence(F.lit(1), F.col("char_count")), wave)).otherwise(F.array().cast("array<float>"))
+    rate = F.when((F.col("chapter_number") % 7 == 0) & (F.col("index") == 2), 2000).otherwise(1000)
+    rendered = segments_of_talks(spark, sf_dir).select(*state.KEY, "index", "ends_paragraph", rate.alias("sample_rate"), F.lit(1).alias("channels"), samples.alias("samples"))
+    blocks = audio.assemble_chapters(rendered, Silence(251, 500, 401, 800), Export(peak=0.9), strict=False)
+    return _longs(blocks.select("chapter_number", "index", "start_frame", F.size("samples").cast("long").alias("frames"), F.sha2(_joined(A.quantize(F.col("samples"))), 256).alias("pcm_sha256"), "fault"))
+
+
 def audio_validate(spark, sf_dir):
     odd = F.when(F.col("vec_id") % 10 == 0, F.array().cast("array<float>")).when(F.col("vec_id") % 10 == 1, F.transform("samples", lambda x: (x * 1e-6).cast("float")))
     odd = odd.when(F.col("vec_id") % 10 == 2, F.transform("samples", lambda x: F.lit(float("nan")).cast("float"))).otherwise(F.col("samples"))
@@ -356,7 +366,7 @@ QUERIES: dict[str, Query] = {
         language_labels, identifier_sanitize, source_hash, output_paths, suffix_dispatch, manifest_build, manifest_json,
         config_manifest, layout_check, resume_state, resume_forced, prepare_state, pending_work, render_selection,
         status_summary, first_failed, resume_summary, segment_lookup, retry_ledger, event_snapshot, silence_timeline,
-        chapter_duration, audio_validate, pcm_quantize, pcm_roundtrip, peak_normalize, layout_uniformity, voice_check,
+        chapter_duration, chapter_assembly, audio_validate, pcm_quantize, pcm_roundtrip, peak_normalize, layout_uniformity, voice_check,
         channel_mean, ffmpeg_command, wav_roundtrip, fake_synthesis,
     )
 }

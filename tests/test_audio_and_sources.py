@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import audio as A
 from folioforge.operators import audio, ingest
-from folioforge.plans.config import Silence
+from folioforge.plans.config import Export, Silence
 from folioforge.sources import chapters, wav
 from folioforge.streaming.ingest import CHAPTER_SCHEMA, segment_stream
 
@@ -48,6 +48,35 @@ def test_wav_source_round_trip(spark, tmp_path):
         assert got == {"x.wav": (8000, 2, [0.5, -0.5, 1.0, 0.0]), "y.wav": (16000, 1, [0.25])}
 
 
+AUDIO = "book_id string, chapter_number int, index int, ends_paragraph boolean, sample_rate int, channels int, samples array<float>"
+
+
+def test_chapters_are_assembled_and_written(spark, tmp_path):
+    rows = [("b", 1, 2, True, 1000, 2, [0.5, -0.25]), ("b", 1, 1, False, 1000, 2, [0.1, 0.2, 0.3, 0.4]), ("b", 2, 1, True, 500, 1, [0.0]), ("b", 1, 3, True, 1000, 2, [0.2, 0.1])]
+    blocks = audio.assemble_chapters(spark.createDataFrame(rows, AUDIO), Silence(2, 3, 1, 4), Export(peak=0.9))
+    own = sorted((r for r in blocks.collect() if r.chapter_number == 1), key=lambda r: r["index"])
+    assert [r.start_frame for r in own] == [0, 5, 9]
+    wanted = np.array([0, 0, 0.1, 0.2, 0.3, 0.4] + [0] * 4 + [0.5, -0.25] + [0] * 6 + [0.2, 0.1] + [0] * 8) * (0.9 / 0.5)
+    assert np.allclose(np.concatenate([r.samples for r in own]), wanted)
+    audio.write_chapters(blocks, str(tmp_path))
+    samples, rate, channels = wav.decode((tmp_path / "chapters/b/b_chapter_001.wav").read_bytes())
+    assert (rate, channels) == (1000, 2) and np.allclose(samples, wanted, atol=1e-4)
+    assert wav.decode((tmp_path / "chapters/b/b_chapter_002.wav").read_bytes())[0].tolist() == [0.0] * 3
+
+
+@pytest.mark.parametrize(
+    "other, fault",
+    [((2, 1000, 1, [0.1]), None), ((2, 500, 1, [0.1]), "sample_rate"), ((2, 1000, 2, [0.1, 0.1]), "channels"), ((2, 1000, 1, None), "missing_audio"), ((1, 1000, 1, [0.1]), "index")],
+)
+def test_assembly_refuses(spark, other, fault):
+    index, rate, channels, samples = other
+    df = spark.createDataFrame([("b", 1, 1, True, 1000, 1, [0.5]), ("b", 1, index, True, rate, channels, samples)], AUDIO)
+    assert {(r.fault, r.samples is None) for r in audio.assemble_chapters(df, Silence(), Export(), strict=False).collect()} == {(fault, fault is not None)}
+    if fault:
+        with pytest.raises(Exception, match=f"chapter cannot be assembled: b 1 {fault}"):
+            audio.assemble_chapters(df, Silence(), Export()).collect()
+
+
 def test_text_chapters(spark, tmp_path):
     (tmp_path / "a.TXT").write_bytes("one\r\ntwo\rthree é".encode())
     (tmp_path / "b.docx").write_bytes(b"no")

@@ -70,12 +70,50 @@ def resume(state: DataFrame, files: DataFrame, force: bool = False) -> DataFrame
     return seen.select(columns)
 
 
-def prepare(segments: DataFrame, existing: DataFrame, files: DataFrame, force: bool = False) -> DataFrame:
-    """New segments as pending, known ones resumed."""
+def merge_segments(segments: DataFrame, existing: DataFrame, files: DataFrame, force: bool = False) -> DataFrame:
+    """New segments as pending, known ones resumed, by segment and without comparing texts. prepare compares chapters first."""
     fresh = pending(segments).join(existing.select(SEGMENT_KEY), SEGMENT_KEY, "left_anti")
     return resume(existing, files, force).unionByName(fresh.select(existing.columns))
 
 
+def chapter_violations(segments: DataFrame, existing: DataFrame, hashes: DataFrame, known_hashes: DataFrame) -> DataFrame:
+    """(KEY, violation) of chapters with a known state that must not be resumed: text_changed or layout_changed.
+
+    hashes and known_hashes hold KEY and source_text_hash. A chapter is known if it has a known hash or known segments; a
+    known chapter without a hash on either side counts as changed. Chapters known but not among the new ones are left out.
+    """
+    now = hashes.select(*KEY, F.col("source_text_hash").alias("h1"))
+    then = known_hashes.select(*KEY, F.col("source_text_hash").alias("h2"))
+    stored = existing.select(KEY).unionByName(known_hashes.select(KEY)).distinct()
+    wanted = segments.select(KEY).unionByName(hashes.select(KEY)).distinct()
+    both = stored.join(wanted, KEY).join(now, KEY, "left").join(then, KEY, "left")
+    moved = compare_layout(segments, existing).select(KEY).distinct().withColumn("moved", F.lit(True))
+    same = F.coalesce(F.col("h1") == F.col("h2"), F.lit(False))
+    violation = F.when(~same, "text_changed").when(F.col("moved"), "layout_changed")
+    return both.join(moved, KEY, "left").select(*KEY, violation.alias("violation")).filter("violation IS NOT NULL")
+
+
+def prepare(segments: DataFrame, existing: DataFrame, files: DataFrame, hashes: DataFrame, known_hashes: DataFrame, force: bool = False, strict: bool = True) -> DataFrame:
+    """States of chapters: those without a known state as pending, known ones resumed as stored, with violation.
+
+    A known chapter whose source_text_hash or (id, text) pairs differ is refused, or without strict keeps its stored rows
+    as they are, under its violation. No new segments are added to a known chapter.
+    """
+    faults = chapter_violations(segments, existing, hashes, known_hashes)
+    known = existing.select(KEY).unionByName(known_hashes.select(KEY)).distinct()
+    fresh = pending(segments).join(known, KEY, "left_anti").select(existing.columns)
+    kept = existing.join(faults, KEY, "left_anti").select(existing.columns)
+    resumed = resume(kept, files, force).unionByName(fresh).withColumn("violation", F.lit(None).cast("string"))
+    # A known chapter can have no stored rows: its violation then stands in a row of its own, with nulls.
+    refused = faults.join(existing, KEY, "left").select(*existing.columns, "violation")
+    out = resumed.unionByName(refused)
+    if strict:
+        message = F.concat(F.lit("chapter cannot be resumed: "), "book_id", F.lit(" "), F.col("chapter_number").cast("string"), F.lit(" "), "violation")
+        # A filter, as a column would not be computed where it is not selected.
+        out = out.filter(F.when(F.col("violation").isNotNull(), F.raise_error(message).cast("boolean")).otherwise(True))
+    return out
+
+
 def pending_work(state: DataFrame, files: DataFrame, default_path: Column, force: bool = False) -> DataFrame:
     """Segments to render: all but completed ones whose file, or else that of the default path, is there."""
     if force:

@@ -158,6 +158,11 @@ SQL: dict[str, str] = {
         THEN 'Completed audio file was missing during resume.' WHEN status = 'failed' AND present THEN NULL ELSE error END AS error FROM seen""",
     "resume_forced": f"WITH {STATE} SELECT chapter_number, segment_id, 'pending' AS status, 0::BIGINT AS attempts, NULL::VARCHAR AS error FROM seen",
     "prepare_state": f"WITH {STATE} SELECT chapter_number, segment_id, CASE WHEN index % 2 = 1 THEN {RESUMED} ELSE 'pending' END AS status, CASE WHEN index % 2 = 1 THEN attempts ELSE 0 END AS attempts FROM seen",
+    "prepare_chapters": f"""WITH {STATE}, v AS (SELECT chapter_number, CASE WHEN chapter_number % 5 = 0 THEN 'text_changed'
+        WHEN chapter_number % 11 = 0 AND bool_or(index = 1) OR chapter_number % 7 = 0 AND bool_or(index = 2) THEN 'layout_changed' END AS violation FROM st WHERE chapter_number % 3 <> 0 GROUP BY chapter_number)
+        SELECT chapter_number, segment_id, CASE WHEN chapter_number % 3 = 0 THEN 'pending' WHEN violation IS NULL THEN {RESUMED} ELSE status END AS status,
+        CASE WHEN chapter_number % 3 = 0 THEN 0 ELSE attempts END AS attempts, violation FROM seen LEFT JOIN v USING (chapter_number)
+        WHERE chapter_number % 3 = 0 OR chapter_number % 7 <> 0 OR index <> 2""",
     "pending_work": f"WITH {STATE} SELECT chapter_number, segment_id, status FROM st WHERE NOT (status = 'completed' AND coalesce(audio_path, path) IN (SELECT path FROM files))",
     "render_selection": f"""WITH {STATE}, u AS (SELECT *, status = 'completed' AND present AS usable FROM seen)
         SELECT chapter_number, coalesce(string_agg(segment_id, ',' ORDER BY index) FILTER (usable), '') AS used_ids,

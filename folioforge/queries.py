@@ -229,10 +229,21 @@ def resume_forced(spark, sf_dir):
 
 def prepare_state(spark, sf_dir):
     known = state_of_talks(spark, sf_dir).filter("index % 2 = 1")
-    done = state.prepare(segments_of_talks(spark, sf_dir), known, files_of_talks(spark, sf_dir))
+    done = state.merge_segments(segments_of_talks(spark, sf_dir), known, files_of_talks(spark, sf_dir))
     return _longs(done.select("chapter_number", "segment_id", "status", "attempts"))
 
 
+def prepare_chapters(spark, sf_dir):
+    """Two in three conversations are known, of which some had another text and some have lost a segment or got another."""
+    chapter = F.col("chapter_number")
+    known = state_of_talks(spark, sf_dir).filter(chapter % 3 != 0).filter((chapter % 7 != 0) | (F.col("index") != 2))
+    known = known.withColumn("text", F.when((chapter % 11 == 0) & (F.col("index") == 1), F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    hashes = talk_chapters(spark, sf_dir).select(*state.KEY, state.source_hash(F.col("text")).alias("source_text_hash"))
+    earlier = hashes.filter(chapter % 3 != 0).withColumn("source_text_hash", F.when(chapter % 5 == 0, state.source_hash(F.lit("another text"))).otherwise(F.col("source_text_hash")))
+    done = state.prepare(segments_of_talks(spark, sf_dir), known, files_of_talks(spark, sf_dir), hashes, earlier, strict=False)
+    return _longs(done.select("chapter_number", "segment_id", "status", "attempts", "violation"))
+
+
 def pending_work(spark, sf_dir):
     work = state.pending_work(state_of_talks(spark, sf_dir), files_of_talks(spark, sf_dir), state.default_audio_path())
     return _longs(work.select("chapter_number", "segment_id", "status"))
@@ -364,7 +375,7 @@ QUERIES: dict[str, Query] = {
         normalize_text, paragraphs, sentences, dense_split, oversized_split, chunk_documents, chunk_conversations,
         word_alnum_counts, extraction_route, page_keep, page_fallback, page_combine, page_counts, language_check,
         language_labels, identifier_sanitize, source_hash, output_paths, suffix_dispatch, manifest_build, manifest_json,
-        config_manifest, layout_check, resume_state, resume_forced, prepare_state, pending_work, render_selection,
+        config_manifest, layout_check, resume_state, resume_forced, prepare_state, prepare_chapters, pending_work, render_selection,
         status_summary, first_failed, resume_summary, segment_lookup, retry_ledger, event_snapshot, silence_timeline,
         chapter_duration, chapter_assembly, audio_validate, pcm_quantize, pcm_roundtrip, peak_normalize, layout_uniformity, voice_check,
         channel_mean, ffmpeg_command, wav_roundtrip, fake_synthesis,

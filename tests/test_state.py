@@ -48,6 +48,26 @@ def test_layout_differences(spark):
     assert state.compare_layout(a, a).count() == 0
 
 
+HASHES = "book_id string, chapter_number int, source_text_hash string"
+
+
+@pytest.mark.parametrize(
+    "stored, texts, violation",
+    [("h", ["x", "y"], None), ("old", ["x", "y"], "text_changed"), (None, ["x", "y"], "text_changed"), ("h", ["x", "y!"], "layout_changed"), ("h", ["x"], "layout_changed"), ("h", ["x", "y", "z"], "layout_changed")],
+)
+def test_prepare_refuses_changed_chapters(spark, stored, texts, violation):
+    rows = lambda chapter, parts: [("b", chapter, f"s{i}", i, 1, t, 1, True, True) for i, t in enumerate(parts, 1)]
+    segments = spark.createDataFrame(rows(1, ["x", "y"]) + rows(2, ["n"]), SEGMENTS)
+    known = state.pending(spark.createDataFrame(rows(1, texts), SEGMENTS)).withColumns({"status": F.lit("completed"), "audio_path": F.lit("p")})
+    files, hashes = spark.createDataFrame([("p",)], "audio_path string"), spark.createDataFrame([("b", 1, "h"), ("b", 2, "h2")], HASHES)
+    args = (segments, known, files, hashes, spark.createDataFrame([("b", 1, stored)] if stored else [], HASHES))
+    got = sorted((r.chapter_number, r.segment_id, r.text, r.status, r.violation) for r in state.prepare(*args, strict=False).collect())
+    assert got == [(1, f"s{i}", t, "completed", violation) for i, t in enumerate(texts, 1)] + [(2, "s1", "n", "pending", None)]
+    if violation:
+        with pytest.raises(Exception, match=f"chapter cannot be resumed: b 1 {violation}"):
+            state.prepare(*args).select("segment_id").collect()
+
+
 def test_selection_faults(spark):
     files = spark.createDataFrame([("p1",)], "audio_path string")
     rows = make_state(spark, [("s1", "completed", "p1", 1, None), ("s2", "pending", None, 0, None)])

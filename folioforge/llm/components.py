@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from .common import stage_table
 
-MAX_ROUNDS = 60
-
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -28,16 +26,19 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(a, label): each node of edges (a, b), with the least node that it reaches. Self-loops and repeats do no harm."""
+    """(sid, label): each node of edges (a, b), with the least node that it reaches. Self-loops and repeats do no harm.
+
+    Steps go on until nothing changes, after some log2(nodes)^2 of them at most.
+    """
     edges = stage_table(edges.select("a", "b").filter("a <> b").distinct(), "edges")
-    before = _state(edges)
-    for _ in range(MAX_ROUNDS):
+    before, after = None, _state(edges)
+    while after != before:
         edges = stage_table(_small_star(_large_star(edges)), "edges")
-        after = _state(edges)
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
-    roots = edges.select(F.col("b").alias("a")).distinct()
-    return edges.select("a", F.col("b").alias("label")).unionByName(roots.select("a", F.col("a").alias("label")))
+        before, after = after, _state(edges)
+    roots = edges.select(F.col("b").alias("sid")).distinct()
+    return edges.select(F.col("a").alias("sid"), F.col("b").alias("label")).unionByName(roots.select("sid", F.col("sid").alias("label")))
+
+
+def contract(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after more links (a, b), which may name nodes that have no label yet."""
+    return components(labels.select(F.col("sid").alias("a"), F.col("label").alias("b")).unionByName(links.select("a", "b")))

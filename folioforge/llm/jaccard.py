@@ -5,10 +5,12 @@ the order goes from rare to frequent. Two sets that are similar enough share a s
 (the prefix), so only shingles of the leading fragments are counted and compared. For pairs that share one, the
 overlap is counted in each fragment by itself and summed per pair, which is exact.
 
-Equal sets are one class from the start. Candidates are checked in two steps: first each prefix list only against one
-member, drawn for that list, which joins copies of one text into components with as many checks as lists have members;
-then all pairs of a list that are not in one component yet. Pairs that cannot link by a parity sketch of their sets go
-before any is counted: each shingle in one set only flips one bit, so that the bits that differ are no more than those.
+Equal sets are one class from the start. Candidates are checked in three steps, and what links is contracted after each:
+first the members of a prefix list against its head, which is the set with the fewest shingles of its own (in a group of
+near copies the one nearest to their common text, and the same in most lists); then, of all pairs that share a list and
+have different labels, the one of each two labels whose sketches are nearest; last all pairs whose labels still differ.
+Parity sketches refute pairs before any is counted: each shingle in one set only flips one bit, so that the bits that
+differ are no more than those.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import documents, spread, stage_table, text_of
-from .components import components
+from .components import components, contract
 from .kernel import blocks, shingle_sets
 
 FRAGMENTS, LEADING = 8, 3
@@ -31,6 +33,8 @@ FRAGMENTS, LEADING = 8, 3
 FILTER_BITS = 1 << 25
 #: 64-bit words of a parity sketch.
 SKETCH = 16
+#: Shingles whose sets are dealt over SALTS cells each: the commonest in one of SAMPLE sets. It moves rows, not results.
+HOT, SALTS, SAMPLE = 10_000, 1024, 64
 BLOCK = 1 << 20
 _TOP = np.uint64(1 << 63)
 #: Shingles are kept as signed numbers in the order of the unsigned hashes; leading ones lie below this.
@@ -60,8 +64,13 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays])))
 
 
+def row_id(key: str, text: str) -> Column:
+    """A hash of a row's key and text, either of which may be null."""
+    return F.xxhash64(F.col(key), text_of(text))
+
+
 def shingle_table(docs: DataFrame, percent: int, key: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
-    """(doc_id, n, sid, leading, n_leading, sketch): set size, id of the set, and its shingles in the leading fragments.
+    """(doc_id, row, n, sid, leading, n_leading, sketch): row id, set size, id of the set, its shingles in the leading fragments.
 
     Where those are fewer than the prefix, leading holds the whole set. Of equal sets within a task only the first
     carries leading and sketch. Two different sets share an id with a chance of 2^-64 a pair.
@@ -69,9 +78,9 @@ def shingle_table(docs: DataFrame, percent: int, key: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in (s for b in batches for s in blocks(b, 1, BLOCK)):
+        for batch in (s for b in batches for s in blocks(b, 2, BLOCK)):
             sizes, ids, heads, head_sizes, sketches = [], [], [], [], []
-            for hashes in shingle_sets(batch.column(1), width):
+            for hashes in shingle_sets(batch.column(2), width):
                 n, ordered = len(hashes), _signed(hashes)
                 sid = _set_id(ordered) if n else None
                 lead = int(np.searchsorted(ordered, _LEADING_BELOW))
@@ -82,32 +91,45 @@ def shingle_table(docs: DataFrame, percent: int, key: str = "doc_id", text: str
                 head_sizes.append(lead)
                 sketches.append(_sketch(hashes) if fresh else ordered[:0])
                 heads.append((ordered if lead < prefix_length(n, percent) else ordered[:lead]) if fresh else ordered[:0])
-            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), _lists(heads), pa.array(head_sizes, pa.int64()), _lists(sketches)], names=["doc_id", "n", "sid", "leading", "n_leading", "sketch"])
+            yield pa.record_batch([*batch.columns[:2], pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), _lists(heads), pa.array(head_sizes, pa.int64()), _lists(sketches)], names=["doc_id", "row", "n", "sid", "leading", "n_leading", "sketch"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), text_of(text).alias("__text")).mapInArrow(run, f"doc_id {kind}, n long, sid long, leading array<long>, n_leading long, sketch array<long>")
+    read = docs.select(F.col(key), row_id(key, text).alias("__row"), text_of(text).alias("__text"))
+    return read.mapInArrow(run, f"doc_id {kind}, row long, n long, sid long, leading array<long>, n_leading long, sketch array<long>")
+
+
+def common_shingles(table: DataFrame) -> DataFrame:
+    """(s, hot_df): the HOT commonest leading shingles of one set in SAMPLE, with the number of all sets that have each."""
+    posted = table.select("sid", F.explode("leading").alias("s"))
+    drawn = posted.filter(F.pmod(F.xxhash64("sid"), F.lit(SAMPLE)) == 0).groupBy("s").agg(F.count("*").alias("__n"))
+    hot = drawn.filter("__n > 1").orderBy(F.desc("__n"), "s").limit(HOT).select("s")
+    return posted.join(F.broadcast(hot), "s").groupBy("s").agg(F.count_distinct("sid").alias("hot_df"))
 
 
 def prefix_lists(table: DataFrame, percent: int) -> DataFrame:
-    """(s, sid, n, place): shingles that two sets or more have in the leading fragments and the set has in its prefix.
+    """(s, sid, n, place, own): shingles that two sets or more have in the leading fragments and the set has in its prefix.
 
-    A shingle that only one set has comes first in its fragment and is not sent on; its set's other places count it.
+    A shingle that only one set has comes first in its fragment and is not sent on; its set's other places count it, and
+    own is how many of them the set has. The sets of a common shingle are counted in cells.
     """
     posted = table.select("sid", F.explode("leading").alias("s"))
-    by_shingle = Window.partitionBy("s")
-    new = posted.withColumn("new", (F.coalesce(F.lag("sid").over(by_shingle.orderBy("sid")) != F.col("sid"), F.lit(True))).cast("int"))
-    shared = new.withColumn("df", F.sum("new").over(by_shingle)).filter("new = 1 AND df > 1").select("s", "sid", "df")
+    hot = stage_table(common_shingles(table), "common")
+    cells = posted.join(F.broadcast(hot), "s", "left").withColumn("cell", F.when(F.col("hot_df").isNotNull(), F.pmod(F.xxhash64("sid"), F.lit(SALTS))).otherwise(F.lit(0)))
+    by_cell = Window.partitionBy("s", "cell")
+    new = cells.withColumn("new", (F.coalesce(F.lag("sid").over(by_cell.orderBy("sid")) != F.col("sid"), F.lit(True))).cast("int"))
+    shared = new.withColumn("df", F.coalesce("hot_df", F.sum("new").over(by_cell))).filter("new = 1 AND df > 1").select("s", "sid", "df")
     sizes = table.filter("sid IS NOT NULL").groupBy("sid").agg(F.max("n").alias("n"), F.max("n_leading").alias("n_leading"))
     leads = F.col("s") < F.lit(_LEADING_BELOW)
-    own = Window.partitionBy("sid", "leads")
+    part = Window.partitionBy("sid", "leads")
     placed = (
         shared.join(sizes, "sid")
         .withColumn("leads", leads)
-        .withColumn("rank", F.row_number().over(own.orderBy("df", "s")))
-        .withColumn("among", F.count("*").over(own))
+        .withColumn("rank", F.row_number().over(part.orderBy("df", "s")))
+        .withColumn("among", F.count("*").over(part))
+        .withColumn("own", F.col("n_leading") - F.sum(F.col("leads").cast("int")).over(Window.partitionBy("sid")))
         .withColumn("place", F.when(F.col("leads"), F.col("n_leading")).otherwise(F.col("n")) - F.col("among") + F.col("rank"))
     )
-    return placed.filter(F.col("place") <= F.expr(f"n - ({percent} * n + 99) div 100 + 1")).select("s", "sid", "n", "place")
+    return placed.filter(F.col("place") <= F.expr(f"n - ({percent} * n + 99) div 100 + 1")).select("s", "sid", "n", "place", "own")
 
 
 def _can_link(percent: int, n1: str, place1: str, n2: str, place2: str) -> Column:
@@ -122,30 +144,59 @@ def sketches(table: DataFrame) -> DataFrame:
     return table.filter("size(sketch) > 0").select("sid", "n", "sketch").dropDuplicates(["sid"])
 
 
-def _near(percent: int, n1: str, sketch1: str, n2: str, sketch2: str) -> Column:
-    """Whether the sketches leave room for a link: of linking sets, so many shingles at most are in one only."""
-    apart = " + ".join(f"bit_count({sketch1}[{i}] ^ {sketch2}[{i}])" for i in range(SKETCH))
-    return F.expr(f"{100 + percent} * ({apart}) <= {100 - percent} * ({n1} + {n2})")
+def _apart(sketch1: str, sketch2: str) -> Column:
+    """Bits that differ in two sketches: no more than the shingles that one set only has."""
+    return F.expr(" + ".join(f"bit_count({sketch1}[{i}] ^ {sketch2}[{i}])" for i in range(SKETCH)))
+
+
+def _near(percent: int, n1: str, n2: str, apart: Column) -> Column:
+    """Whether the sketches leave room for a link."""
+    return (100 + percent) * apart <= (100 - percent) * (F.col(n1) + F.col(n2))
 
 
 def star_pairs(lists: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of each list's head, drawn by hash, with each other member that it may link with."""
-    first = F.first(F.struct("sid", "n", "place")).over(Window.partitionBy("s").orderBy(F.xxhash64("sid", "s"), "sid"))
-    led = lists.withColumn("head", first).filter("sid <> head.sid").filter(_can_link(percent, "n", "place", "head.n", "head.place"))
+    """Distinct pairs (a, b), a < b, of each list's head with each other member that it may link with.
+
+    The head is the member with the fewest shingles of its own, then of the least hash.
+    """
+    rank = F.struct(F.col("own"), F.xxhash64("sid").alias("hash"), F.col("sid"), F.col("n"), F.col("place"))
+    heads = lists.groupBy("s").agg(F.min(rank).alias("head"))
+    led = lists.join(heads, "s").filter("sid <> head.sid").filter(_can_link(percent, "n", "place", "head.n", "head.place"))
     pairs = led.select(F.least("head.sid", "sid").alias("a"), F.greatest("head.sid", "sid").alias("b")).distinct()
     of = lambda side: marks.select(F.col("sid").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").filter(_near(percent, "na", "sa", "nb", "sb")).select("a", "b")
+    return pairs.join(of("a"), "a").join(of("b"), "b").filter(_near(percent, "na", "nb", _apart("sa", "sb"))).select("a", "b")
 
 
 def open_pairs(lists: DataFrame, labels: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b), a < b, that share a list, have different labels, and may link."""
-    named = lists.join(labels.select(F.col("a").alias("sid"), "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    every = Window.partitionBy("s")
-    mixed = named.withColumn("low", F.min("label").over(every)).withColumn("high", F.max("label").over(every)).filter("low <> high")
-    mixed = mixed.select("s", "sid", "n", "place", "label").join(marks.select("sid", "sketch"), "sid")
-    other = mixed.select("s", *(F.col(c).alias(f"{c}2") for c in ("sid", "n", "place", "label", "sketch")))
-    met = mixed.join(other, "s").filter("sid < sid2 AND label <> label2").filter(_can_link(percent, "n", "place", "n2", "place2"))
-    return met.filter(_near(percent, "n", "sketch", "n2", "sketch2")).select(F.col("sid").alias("a"), F.col("sid2").alias("b")).distinct()
+    """Distinct (a, b, apart), a < b, that share a list, have different labels, and may link.
+
+    Members of a list's commonest label are not compared with each other, and a pair is made in one list only: that of the
+    first shingle that its prefixes share.
+    """
+    named = lists.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    counts = named.groupBy("s", "label").agg(F.count("*").alias("n"))
+    mixed = counts.groupBy("s").agg(F.max(F.struct("n", "label"))["label"].alias("most"), F.count("*").alias("labels")).filter("labels > 1").select("s", "most")
+    prefixes = lists.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("place", "s"))).alias("prefix")).select("sid", F.expr("transform(prefix, x -> x.s)").alias("prefix"))
+    rows = named.select("s", "sid", "n", "place", "label").join(mixed, "s")
+    rows = rows.join(marks.select("sid", "sketch").join(prefixes, "sid"), "sid")
+    other = rows.select("s", *(F.col(c).alias(f"{c}2") for c in ("sid", "n", "place", "label", "sketch", "prefix")))
+    met = rows.filter("label <> most").join(other, "s").filter("label <> label2 AND (label2 = most OR sid < sid2)")
+    may = _can_link(percent, "n", "place", "n2", "place2") & _near(percent, "n", "n2", _apart("sketch", "sketch2"))
+    # In one condition, so that prefixes are only compared where all else leaves room for a link; a lambda, as code that
+    # is generated for this and the sketches together grows past what the JVM compiles.
+    first = F.exists(F.array("prefix"), lambda x: F.get(F.array_intersect(x, "prefix2"), 0) == F.col("s"))
+    met = met.filter(F.when(may, first).otherwise(F.lit(False)))
+    pairs = met.select(F.least("sid", "sid2").alias("a"), F.greatest("sid", "sid2").alias("b")).distinct()
+    of = lambda side: marks.select(F.col("sid").alias(side), F.col("sketch").alias(f"s{side}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", _apart("sa", "sb").alias("apart"))
+
+
+def still_apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose labels differ, with la and lb, the lesser label first."""
+    of = lambda side: labels.select(F.col("sid").alias(side), F.col("label").alias(f"l{side}"))
+    named = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    named = named.withColumn("la", F.coalesce("la", "a")).withColumn("lb", F.coalesce("lb", "b")).filter("la <> lb")
+    return named.select("a", "b", "apart", F.least("la", "lb").alias("la"), F.greatest("la", "lb").alias("lb"))
 
 
 def flag_maybe(docs: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
@@ -159,13 +210,12 @@ def flag_maybe(docs: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     return marked.join(F.broadcast(pieces), "__piece", "left").select(*docs.columns, found.alias("__maybe"))
 
 
-def segments(docs: DataFrame, table: DataFrame, pairs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """(sid, n, fragment, segment) for the sets in pairs, one row a fragment, computed from one text of each class."""
-    wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-    holders = table.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id")).join(wanted, "sid")
-    holders = stage_table(holders.select("sid", "doc_id"), "holders")
-    picked = docs.select(F.col(key).alias("doc_id"), text_of(text).alias("__text"))
-    near = flag_maybe(picked, "doc_id", holders).filter("__maybe").drop("__maybe").join(holders.hint("shuffle_hash"), "doc_id")
+def segments(docs: DataFrame, table: DataFrame, wanted: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """(sid, n, fragment, segment) for the sets in wanted, one row a fragment, computed from one text of each class."""
+    holders = table.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("row").alias("row")).join(wanted, "sid")
+    holders = stage_table(holders.select("sid", "row"), "holders")
+    picked = docs.select(row_id(key, text).alias("row"), text_of(text).alias("__text"))
+    near = flag_maybe(picked, "row", holders).filter("__maybe").drop("__maybe").join(holders.hint("shuffle_hash"), "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = [i * (1 << 64) // FRAGMENTS - (1 << 63) for i in range(1, FRAGMENTS)]
@@ -180,7 +230,12 @@ def segments(docs: DataFrame, table: DataFrame, pairs: DataFrame, key: str, text
             numbers = np.tile(np.arange(FRAGMENTS, dtype=np.int32), len(sids))
             yield pa.record_batch([pa.array(np.repeat(np.array(sids, np.int64), FRAGMENTS)), pa.array(np.repeat(np.array(sizes, np.int64), FRAGMENTS)), pa.array(numbers), _lists(parts)], names=["sid", "n", "fragment", "segment"])
 
-    return near.select("sid", "__text").mapInArrow(run, "sid long, n long, fragment int, segment array<long>").dropDuplicates(["sid", "fragment"])
+    made = near.select("sid", "__text").mapInArrow(run, "sid long, n long, fragment int, segment array<long>")
+    return stage_table(made.dropDuplicates(["sid", "fragment"]), "segments")
+
+
+def members(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
 
 
 def linked(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
@@ -193,48 +248,62 @@ def linked(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     return whole.filter(f"{100 + percent} * common >= {percent} * (na + nb)").select("a", "b")
 
 
-def jaccard_components(docs: DataFrame, percent: int = 80, key: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of docs.
+def jaccard_classes(docs: DataFrame, percent: int = 80, key: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
+    """(doc_id, row, n_shingles, class) for every row of docs: a hash of key and text, set size, and the id of its component.
 
-    Sets link when 100 * overlap >= percent * union. component_id is the least key that links reach. Null and empty
-    texts, and texts of white space, have no shingles and link with nothing; equal texts and repeated rows share a
-    component. Rows of null key take part, and get the least key that is not null, or null. Other columns are not read.
+    class is null where there is no shingle. See jaccard_components.
     """
     table = stage_table(shingle_table(docs, percent, key, text, width), "shingles")
     lists = stage_table(prefix_lists(table, percent), "prefixes")
-    marks = sketches(table)
+    marks = stage_table(sketches(table).join(lists.select("sid").distinct(), "sid", "left_semi"), "sketches")
     stars = stage_table(star_pairs(lists, marks, percent), "stars")
-    star_links = stage_table(linked(stars, segments(docs, table, stars, key, text, width), percent), "links")
-    rest = open_pairs(lists, components(star_links), marks, percent).join(stars, ["a", "b"], "left_anti")
-    rest = stage_table(rest, "pairs")
-    rest_links = linked(rest, segments(docs, table, rest, key, text, width), percent)
-    labels = components(star_links.unionByName(rest_links))
-    return _with_components(table, labels)
+    parts = segments(docs, table, members(stars), key, text, width)
+    labels = components(linked(stars, parts, percent))
+    rest = stage_table(open_pairs(lists, labels, marks, percent).join(stars, ["a", "b"], "left_anti"), "pairs")
+    more = members(rest).join(parts.select("sid").distinct(), "sid", "left_anti")
+    parts = parts.unionByName(segments(docs, table, more, key, text, width))
+    # Of each two labels the likeliest pair first: where it links, all others of the two need no count.
+    best = still_apart(rest, labels).groupBy("la", "lb").agg(F.min(F.struct("apart", "a", "b")).alias("pair")).select("pair.a", "pair.b")
+    best = stage_table(best, "best")
+    labels = contract(labels, linked(best, parts, percent))
+    last = stage_table(still_apart(rest, labels).select("a", "b").join(best, ["a", "b"], "left_anti"), "last")
+    labels = contract(labels, linked(last, parts, percent))
+    done = table.select("doc_id", "row", F.col("n").alias("n_shingles"), "sid").join(labels, "sid", "left")
+    return done.select("doc_id", "row", "n_shingles", F.coalesce("label", "sid").alias("class"))
 
 
-def _with_components(table: DataFrame, labels: DataFrame) -> DataFrame:
-    least = table.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("least"))
-    joined = labels.select(F.col("a").alias("sid"), "label").join(least, "sid")
-    lowest = joined.groupBy("label").agg(F.min("least").alias("lowest"))
-    named = least.join(joined.select("sid", "label"), "sid", "left").join(lowest, "label", "left")
-    classes = named.select("sid", F.coalesce("lowest", "least").alias("component_id"))
-    done = table.select("doc_id", "n", "sid").join(classes, "sid", "left")
-    return done.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+def jaccard_components(docs: DataFrame, percent: int = 80, key: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of docs.
+
+    Sets link when 100 * overlap >= percent * union. component_id is the least key that links reach. Null and empty
+    texts, and texts of white space, have no shingles and link with nothing; equal texts and repeated rows share a
+    component. Rows of null key take part, and get the least key that is not null, or null. An empty table gives no rows;
+    other columns are not read.
+    """
+    classes = stage_table(jaccard_classes(docs, percent, key, text, width), "classes")
+    least = classes.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))
+    named = classes.join(least, "class", "left")
+    return named.select("doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """One document of each component of jaccard_components: that of the least key, and one row of each key.
+def keep_one(docs: DataFrame, classes: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of docs of each class of jaccard_classes: that of the least key that is not null, then of the least hash.
 
-    Only rows whose key may be a dropped or a repeated one are shuffled. Rows of null key have no place in a class by
-    their key, and stay.
+    Rows equal in key and text are one; which of them stays is not defined where other columns differ. Rows that share
+    a key and have different texts are judged each by itself. Rows without shingles stay. Only rows of classes with two
+    rows or more are shuffled. An empty table gives no rows; no name of a column of docs is reserved.
     """
-    suspects = classes.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("heads"))
-    suspects = stage_table(suspects.filter("rows > 1 OR heads = 0").select("doc_id", "heads"), "suspects")
-    flagged = flag_maybe(docs, "doc_id", suspects)
-    clear = flagged.filter("NOT __maybe").drop("__maybe")
-    doubtful = flagged.filter("__maybe").drop("__maybe").join(suspects, "doc_id", "left").filter("heads IS NULL OR heads = 1")
-    single = doubtful.filter("heads = 1").withColumn("__row", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).filter("__row = 1")
-    return clear.unionByName(doubtful.filter("heads IS NULL").select(docs.columns)).unionByName(single.select(docs.columns))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"))
+    firsts = classes.filter("class IS NOT NULL").groupBy("class").agg(F.min(rank).alias("first"), F.count("*").alias("rows")).filter("rows > 1")
+    suspects = classes.join(firsts, "class").groupBy("row").agg(F.max((F.col("row") == F.col("first.row")).cast("int")).alias("stays"))
+    suspects = stage_table(suspects.select(F.col("row").alias("__row"), "stays"), "suspects")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)), row_id(key, text).alias("__row"))
+    flagged = flag_maybe(plain, "__row", suspects)
+    clear = flagged.filter("NOT __maybe").select(names)
+    doubtful = flagged.filter("__maybe").drop("__maybe").join(suspects, "__row", "left")
+    single = doubtful.filter("stays = 1").dropDuplicates(["__row"]).select(names)
+    return clear.unionByName(doubtful.filter("stays IS NULL").select(names)).unionByName(single).toDF(*docs.columns)
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

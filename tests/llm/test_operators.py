@@ -13,7 +13,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from folioforge.llm import bpe, chat, gam, jaccard, media, packing, rules, secrets, sharding, toxicity
+from folioforge.llm import bpe, chat, components, gam, jaccard, media, packing, rules, secrets, sharding, toxicity
 from folioforge.llm.common import stage_table
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -313,5 +313,24 @@ def test_jaccard_on_near_copies(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     classes = jaccard.jaccard_components(df)
     assert by_key(classes.collect(), "n_shingles", "component_id") == components_by_force(rows)
-    kept = jaccard.keep_one(df, stage_table(classes, "classes"))
+    kept = jaccard.keep_one(df, stage_table(jaccard.jaccard_classes(df), "classes"))
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in components_by_force(rows)})
+
+
+def test_jaccard_links_rows_of_null_key(spark):
+    words = [f"w{i}" for i in range(120)]
+    bridge, far = words[:110] + [f"x{i}" for i in range(6)], words[:100] + [f"x{i}" for i in range(6)] + [f"y{i}" for i in range(6)]
+    rows = [(1, " ".join(words)), (None, " ".join(bridge)), (3, " ".join(far)), (None, "null keys that are " + " ".join(far[40:]))]
+    rows += [(None, "five words and some more here"), (None, "five words and some more here"), (7, "alone"), (7, "another text of the same key")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("row", "class", "heads", "stays", "c0", "first")})
+    wanted = components_by_force(rows)
+    assert ((3, 108, 1) in wanted) and by_key(jaccard.jaccard_components(df).collect(), "n_shingles", "component_id") == wanted
+    kept = jaccard.keep_one(df, stage_table(jaccard.jaccard_classes(df), "classes"))
+    assert kept.columns == df.columns
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(repr, [rows[0], rows[3], rows[4], rows[6], rows[7]]))
+
+
+def test_components_of_long_chains(spark):
+    edges = [(i, i + 1) for i in range(300)] + [(1000, 1001), (1002, 1001), (5, 5)]
+    got = {r.sid: r.label for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(301)} | {i: 1000 for i in (1000, 1001, 1002)}

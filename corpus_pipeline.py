@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from folioforge.llm.common import documents, spread, stage_table
 from folioforge.llm.gam import learn_quality, score_quality
-from folioforge.llm.jaccard import jaccard_components, keep_one
+from folioforge.llm.jaccard import jaccard_classes, keep_one
 from folioforge.llm.packing import pack, token_pieces
 from folioforge.llm.rules import keep_passing
 from folioforge.llm.secrets import mask_secrets, scan_secrets
@@ -34,7 +34,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links of five-word shingles with a similarity of 0.8 or more join."""
-    return keep_one(docs, stage_table(jaccard_components(spread(docs)), "classes"))
+    return keep_one(docs, stage_table(jaccard_classes(spread(docs)), "classes"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

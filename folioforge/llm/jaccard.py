@@ -7,8 +7,9 @@ overlap is counted in each fragment by itself and summed per pair, which is exac
 
 Equal sets are one class from the start. Candidates are checked in three steps, and what links is contracted after each:
 first the members of a prefix list against its head, which is the set with the fewest shingles of its own (in a group of
-near copies the one nearest to their common text, and the same in most lists); then, of all pairs that share a list and
-have different labels, the one of each two labels whose sketches are nearest; last all pairs whose labels still differ.
+near copies the one nearest to their common text, and the same in most lists); then each set against the members of its
+fullest lists that have another label, of each two labels the pair whose sketches are nearest; last all pairs that share
+a list and whose labels still differ.
 Parity sketches refute pairs before any is counted: each shingle in one set only flips one bit, so that the bits that
 differ are no more than those.
 """
@@ -35,6 +36,8 @@ FILTER_BITS = 1 << 25
 SKETCH = 16
 #: Shingles whose sets are dealt over SALTS cells each: the commonest in one of SAMPLE sets. It moves rows, not results.
 HOT, SALTS, SAMPLE = 10_000, 1024, 64
+#: Lists in which a set looks for the nearest of other labels before all of its lists are compared.
+FULLEST = 4
 BLOCK = 1 << 20
 _TOP = np.uint64(1 << 63)
 #: Shingles are kept as signed numbers in the order of the unsigned hashes; leading ones lie below this.
@@ -167,36 +170,41 @@ def star_pairs(lists: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b").filter(_near(percent, "na", "nb", _apart("sa", "sb"))).select("a", "b")
 
 
-def open_pairs(lists: DataFrame, labels: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+def open_pairs(lists: DataFrame, labels: DataFrame, marks: DataFrame, percent: int, fullest: int | None = None) -> DataFrame:
     """Distinct (a, b, apart), a < b, that share a list, have different labels, and may link.
 
-    Members of a list's commonest label are not compared with each other, and a pair is made in one list only: that of the
-    first shingle that its prefixes share.
+    Members of a list's commonest label are not compared with each other. With fullest, a set is only compared in that
+    many of its lists, those in which the commonest label has most members.
     """
     named = lists.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     counts = named.groupBy("s", "label").agg(F.count("*").alias("n"))
-    mixed = counts.groupBy("s").agg(F.max(F.struct("n", "label"))["label"].alias("most"), F.count("*").alias("labels")).filter("labels > 1").select("s", "most")
-    prefixes = lists.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("place", "s"))).alias("prefix")).select("sid", F.expr("transform(prefix, x -> x.s)").alias("prefix"))
-    rows = named.select("s", "sid", "n", "place", "label").join(mixed, "s")
-    rows = rows.join(marks.select("sid", "sketch").join(prefixes, "sid"), "sid")
-    other = rows.select("s", *(F.col(c).alias(f"{c}2") for c in ("sid", "n", "place", "label", "sketch", "prefix")))
-    met = rows.filter("label <> most").join(other, "s").filter("label <> label2 AND (label2 = most OR sid < sid2)")
-    may = _can_link(percent, "n", "place", "n2", "place2") & _near(percent, "n", "n2", _apart("sketch", "sketch2"))
-    # In one condition, so that prefixes are only compared where all else leaves room for a link; a lambda, as code that
-    # is generated for this and the sketches together grows past what the JVM compiles.
-    first = F.exists(F.array("prefix"), lambda x: F.get(F.array_intersect(x, "prefix2"), 0) == F.col("s"))
-    met = met.filter(F.when(may, first).otherwise(F.lit(False)))
+    mixed = counts.groupBy("s").agg(F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("labels")).filter("labels > 1")
+    rows = named.select("s", "sid", "n", "place", "label").join(mixed.select("s", F.col("most.label").alias("most"), F.col("most.n").alias("full")), "s")
+    if fullest:
+        # In lists of a later place a partner of about the same size cannot link, if none was met before.
+        early = F.expr(f"{100 + percent} * (place - 1) <= {100 - percent} * n")
+        by_size = Window.partitionBy("sid").orderBy(early.desc(), F.desc("full"), "s")
+        chosen = rows.filter("label <> most").withColumn("rank", F.row_number().over(by_size)).filter(F.col("rank") <= fullest)
+        rows = rows.join(chosen.select("s", "sid", F.lit(True).alias("chosen")), ["s", "sid"], "left")
+    rows = stage_table(rows, "mixed")
+    second = lambda df: df.select(*(F.col(c).alias(f"{c}2") for c in df.columns))
+    may = (F.col("s") == F.col("s2")) & (F.col("label") != F.col("label2")) & _can_link(percent, "n", "place", "n2", "place2")
+    # Sketches go only to rows that have a partner by size and place.
+    live = rows.join(second(rows.select("s", "n", "place", "label")), may, "left_semi").join(marks.select("sid", "sketch"), "sid")
+    left = live.filter("label <> most AND chosen" if fullest else "label <> most")
+    met = left.join(second(live.select("s", "sid", "n", "place", "label", "sketch")), may & F.expr("label2 = most OR sid < sid2"))
+    met = met.filter(_near(percent, "n", "n2", _apart("sketch", "sketch2")))
     pairs = met.select(F.least("sid", "sid2").alias("a"), F.greatest("sid", "sid2").alias("b")).distinct()
     of = lambda side: marks.select(F.col("sid").alias(side), F.col("sketch").alias(f"s{side}"))
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", _apart("sa", "sb").alias("apart"))
 
 
-def still_apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose labels differ, with la and lb, the lesser label first."""
+def with_labels(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """pairs with la and lb, the labels of their members, the lesser first."""
     of = lambda side: labels.select(F.col("sid").alias(side), F.col("label").alias(f"l{side}"))
     named = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    named = named.withColumn("la", F.coalesce("la", "a")).withColumn("lb", F.coalesce("lb", "b")).filter("la <> lb")
-    return named.select("a", "b", "apart", F.least("la", "lb").alias("la"), F.greatest("la", "lb").alias("lb"))
+    la, lb = F.coalesce("la", "a"), F.coalesce("lb", "b")
+    return named.select("a", "b", "apart", F.least(la, lb).alias("la"), F.greatest(la, lb).alias("lb"))
 
 
 def flag_maybe(docs: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
@@ -259,15 +267,17 @@ def jaccard_classes(docs: DataFrame, percent: int = 80, key: str = "doc_id", tex
     stars = stage_table(star_pairs(lists, marks, percent), "stars")
     parts = segments(docs, table, members(stars), key, text, width)
     labels = components(linked(stars, parts, percent))
-    rest = stage_table(open_pairs(lists, labels, marks, percent).join(stars, ["a", "b"], "left_anti"), "pairs")
-    more = members(rest).join(parts.select("sid").distinct(), "sid", "left_anti")
-    parts = parts.unionByName(segments(docs, table, more, key, text, width))
-    # Of each two labels the likeliest pair first: where it links, all others of the two need no count.
-    best = still_apart(rest, labels).groupBy("la", "lb").agg(F.min(F.struct("apart", "a", "b")).alias("pair")).select("pair.a", "pair.b")
-    best = stage_table(best, "best")
-    labels = contract(labels, linked(best, parts, percent))
-    last = stage_table(still_apart(rest, labels).select("a", "b").join(best, ["a", "b"], "left_anti"), "last")
-    labels = contract(labels, linked(last, parts, percent))
+    tried = stars
+    for fullest in (FULLEST, None):
+        rest = open_pairs(lists, labels, marks, percent, fullest).join(tried, ["a", "b"], "left_anti")
+        if fullest:
+            # Of each two labels the likeliest pair: where it links, all others of the two need no count.
+            rest = with_labels(rest, labels).groupBy("la", "lb").agg(F.min(F.struct("apart", "a", "b")).alias("pair")).select("pair.a", "pair.b")
+        rest = stage_table(rest.select("a", "b"), "pairs")
+        more = members(rest).join(parts.select("sid").distinct(), "sid", "left_anti")
+        parts = parts.unionByName(segments(docs, table, more, key, text, width))
+        labels = contract(labels, linked(rest, parts, percent))
+        tried = tried.unionByName(rest)
     done = table.select("doc_id", "row", F.col("n").alias("n_shingles"), "sid").join(labels, "sid", "left")
     return done.select("doc_id", "row", "n_shingles", F.coalesce("label", "sid").alias("class"))
 

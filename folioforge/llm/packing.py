@@ -1,13 +1,13 @@
 """Best-fit packing of token sequences by a configuration linear program over the length histogram.
 
 A configuration is a multiset of lengths that fits one sequence. The program asks for how often to use each so that
-every length is covered as often as it occurs. Only the histogram (one count a length) goes to the driver. Three plans are
-made, and the one of fewest sequences is kept: best fit, longest first; exact fills (multiplicative weights hold a price for
-each length, which falls with the share of it that is covered, and a knapsack dynamic program finds the fullest
-configurations of the highest price); and, unless one of these is within GAP of the tokens' own bound, the linear program
-itself, solved by column generation with its covering duals as prices, so that configurations need not be full. What
-rounding down leaves over is packed best fit, by counts. Pieces then find their places by their rank within their length,
-which needs no plan but the configurations.
+every length is covered as often as it occurs. Only the histogram (one count a length) goes to the driver. Multiplicative
+weights solve it: each length has a price, which starts at its share of a sequence and falls exponentially with its
+coverage; a knapsack dynamic program finds the configurations of the highest price, which cover some more; and the prices,
+scaled to what a sequence can hold, bound the program from below. The solution is rounded down, and best fit packs what
+that leaves. Where this plan is not within GAP of the bound, simplex steps among the same and further configurations
+finish the program. Pieces then find their places by their rank within their length, which needs no plan but the
+configurations.
 """
 
 from __future__ import annotations
@@ -28,25 +28,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import documents, spread, stage_table, text_of
-from .kernel import blocks
+from .kernel import blocks, utf8
 
 CAPACITY = 2048
 BLOCK = 4 << 20
-#: Words, and words without end marks, whose ids a worker keeps; beyond it the memo starts anew.
-MEMO_WORDS = 400_000
+#: Words without end marks whose ids a worker keeps at least.
+MEMO_STEMS = 120_000
 #: Marks at a word's end that are symbols to the tokenizer, and so never join a letter before them.
 END_MARKS = ".,!?;:%&*$#|"
 #: Stands between words that are encoded together; no word holds it.
 BETWEEN = "\ue000"
-#: Programs solved at most, configurations traced from each, and how fast a price falls as its length is covered.
-ROUNDS, TRACES, RATE = 300, 16, 1.0
-#: Share of the scarcest length's rest that a configuration takes at once; share of each length that rounding leaves over.
-SHARE, REST = 0.6, 0.2
-#: The linear program is solved until its value is within GAP of its dual bound, or for so many knapsacks; how far the prices
-#: stay at the best bound's, and columns taken from the pool of best fit at a time.
+#: Phases of the weights: how fast a price falls with coverage, and knapsacks at most; configurations traced from each
+#: knapsack, and how much less than the best one may be worth.
+RATES, TRACES, SLACK = ((0.1, 60), (0.03, 100), (0.01, 140)), 16, 1e-3
+#: A plan is good where it is within GAP of the bound, and one sequence. Simplex steps end there, or after so many knapsacks;
+#: how far their prices stay at the best bound's, and columns taken from a pool at a time.
 GAP, KNAPSACKS, STAY, POOL = 0.001, 1000, 0.8, 64
-#: Pieces that one window of ranks sorts, on average.
-CELL = 20_000
+#: Cells over which the pieces of a length are dealt, to be ranked.
+SALTS = 64
 
 Configuration = tuple[tuple[int, int], ...]
 
@@ -58,10 +57,18 @@ def _byte_letters() -> dict[int, int]:
     return {b: b for b in visible} | {b: 256 + i for i, b in enumerate(hidden)}
 
 
+def _gather(pool: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The runs of pool that begin at starts, one after the other."""
+    ends = np.cumsum(counts)
+    total = int(ends[-1]) if len(ends) else 0
+    return pool[np.arange(total) + np.repeat(starts - (ends - counts), counts)]
+
+
 class WordIds:
-    """Ids of texts by a tokenizer that never looks across white space; a word's ids are computed once.
+    """Ids of texts by a tokenizer that never looks across white space; a word's ids are computed once a block.
 
-    A word's end marks are looked up by themselves, as most words occur with some and without.
+    A word's end marks are looked up by themselves, as most words occur with some and without. Stems that were used last
+    are kept with their ids, MEMO_STEMS at least and twice as many at most.
     """
 
     def __init__(self, path: str):
@@ -73,14 +80,33 @@ class WordIds:
         self.letters = _byte_letters()
         self.between = np.array(self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids, np.uint32)
         self.memo: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
-
-    @staticmethod
-    def _cut(word: str) -> tuple[str, str]:
-        stem = word.rstrip(END_MARKS)
-        if len(stem) < len(word) and not stem[-1:].isalpha():
-            stem = word
-        return (stem.lower() if stem.isascii() else stem), word[len(stem) :]
+        self.former: dict[str, bytes] = {}
+        self.ends: dict[str, bool] = {"": False}
+
+    def _may_end(self, last: str) -> bool:
+        """Whether a stem may end in this character: a letter, and one whose normal form ends in a letter.
+
+        Of marks behind any other, the tokenizer could take some together with what stands before them.
+        """
+        if last not in self.ends:
+            plain = self.tokenizer.normalizer.normalize_str(last)
+            self.ends[last] = last.isalpha() and plain[-1:].isalpha()
+        return self.ends[last]
+
+    def _cut(self, words: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Each word as a stem and its end marks, which the tokenizer never joins; ASCII stems in lower case."""
+        stems = pc.utf8_rtrim(words, characters=END_MARKS)
+        last = pc.utf8_slice_codeunits(stems, start=-1).dictionary_encode()
+        fit = pa.array([self._may_end(c) for c in last.dictionary.to_pylist()], pa.bool_()).take(last.indices)
+        stems = pc.if_else(fit, stems, words)
+        cut = pc.subtract(pc.binary_length(words), pc.binary_length(stems)).to_numpy()
+        data, offsets = utf8(words)
+        marks = _gather(data, offsets[1:] - cut, cut)
+        at = np.concatenate([[0], np.cumsum(cut)]).astype(np.int32)
+        marks = pa.StringArray.from_buffers(len(words), pa.py_buffer(at), pa.py_buffer(marks))
+        # Special tokens, which begin with <, are found before letters are folded.
+        plain = pc.and_(pc.string_is_ascii(stems), pc.invert(pc.match_substring(stems, "<")))
+        return pc.if_else(plain, pc.ascii_lower(stems), stems), marks
 
     def _encode(self, some: list[str]) -> list[bytes]:
         """Ids of each of some strings, by one call for all, cut where the mark between them stands."""
@@ -96,46 +122,53 @@ class WordIds:
                 return [raw[4 * a : 4 * b] for a, b in zip(starts, ends, strict=True)]
         return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
 
-    def _learn(self, fresh: list[str]) -> None:
-        if len(self.stems) + len(fresh) > MEMO_WORDS:
-            self.stems.clear()
-        cut = [self._cut(w) for w in fresh]
-        new = list({part for pair in cut for part in pair if part and part not in self.stems})
-        other = []
-        for stem in new:
+    def _learn(self, fresh: list[str], found: dict[str, bytes]) -> None:
+        tokenize, other = self.model.tokenize, []
+        for stem in fresh:
             # Lower-case letters alone pass normalizing and splitting unchanged, and go to the merges at once.
             if stem.isalpha() and stem.lower() == stem and unicodedata.is_normalized("NFC", stem):
                 raw = stem if stem.isascii() else stem.encode().decode("latin-1").translate(self.letters)
-                self.stems[stem] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(raw)])
+                found[stem] = b"".join([t.id.to_bytes(4, "little") for t in tokenize(raw)])
             else:
                 other.append(stem)
         for lo in range(0, len(other), 5000):
             some = other[lo : lo + 5000]
-            self.stems.update(zip(some, self._encode(some), strict=True))
-        self.stems[""] = b""
-        self.memo.update((w, self.stems[stem] + self.stems[marks]) for w, (stem, marks) in zip(fresh, cut, strict=True))
+            found.update(zip(some, self._encode(some), strict=True))
+
+    def _pool(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of distinct strings one after the other, where each begins, how many it has)."""
+        memo, former = self.memo, self.former
+        got = [memo.get(s) for s in strings]
+        found = {s: former.get(s) for s, ids in zip(strings, got, strict=True) if ids is None}
+        self._learn([s for s, ids in found.items() if ids is None], found)
+        ids = [found[s] if own is None else own for s, own in zip(strings, got, strict=True)]
+        memo.update(found)
+        if len(memo) > MEMO_STEMS:
+            self.memo, self.former = {}, memo if len(memo) <= 2 * MEMO_STEMS else {}
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        return np.frombuffer(b"".join(ids), np.uint32), np.cumsum(sizes) - sizes, sizes
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets)."""
         parts = pc.ascii_split_whitespace(texts)
         coded = parts.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        fresh = [w for w in words if w not in self.memo]
-        if len(self.memo) + len(fresh) > MEMO_WORDS:
-            self.memo.clear()
-            fresh = words
-        self._learn(fresh)
-        ids = [self.memo[w] for w in words]
-        pool = np.frombuffer(b"".join(ids), np.uint32)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        first = np.cumsum(sizes) - sizes
+        stems, marks = (a.dictionary_encode() for a in self._cut(coded.dictionary))
+        n = len(stems.dictionary)
+        strings = stems.dictionary.to_pylist() + marks.dictionary.to_pylist()
+        pool, begins, sizes = self._pool(list(dict.fromkeys(strings)))
+        if len(begins) < len(strings):
+            at = {s: i for i, s in enumerate(dict.fromkeys(strings))}
+            order = np.fromiter((at[s] for s in strings), np.int64, len(strings))
+            begins, sizes = begins[order], sizes[order]
+        # A word's ids are those of its stem, then those of its marks.
+        two = np.stack([stems.indices.to_numpy().astype(np.int64), marks.indices.to_numpy().astype(np.int64) + n], axis=1).ravel()
+        pool = _gather(pool, begins[two], sizes[two])
+        sizes = sizes[two].reshape(-1, 2).sum(axis=1)
+        begins = np.cumsum(sizes) - sizes
         use = coded.indices.to_numpy()
-        counts = sizes[use] if len(use) else np.zeros(0, np.int64)
-        ends = np.cumsum(counts)
-        total = int(ends[-1]) if len(ends) else 0
-        place = np.arange(total) + np.repeat((first[use] if len(use) else counts) - (ends - counts), counts)
+        counts = sizes[use]
         bounds = parts.offsets.to_numpy().astype(np.int64) - parts.offsets[0].as_py()
-        return pool[place], np.concatenate([[0], ends])[bounds]
+        return _gather(pool, begins[use], counts), np.concatenate([[0], np.cumsum(counts)])[bounds]
 
 
 @cache
@@ -240,35 +273,37 @@ def _merged(packed: dict[Configuration, int]) -> dict[Configuration, int]:
     return out
 
 
-def _exact_fills(demand: np.ndarray, capacity: int, rounds: int, rng: np.random.Generator) -> dict[Configuration, int]:
-    """A plan whose configurations fill the capacity exactly, but for a rest that is packed best fit."""
-    left = demand.copy()
-    chosen: dict[Configuration, int] = defaultdict(int)
-    rest = np.floor(left * REST + rng.random(capacity + 1)).astype(np.int64)
-    left -= rest
-    natural = np.arange(capacity + 1) / capacity
-    for _ in range(rounds):
-        if left.sum() <= TRACES:
-            break
-        # How full a configuration is comes first; the weights, under one unit of length in sum, choose among the full.
-        uncovered = left / np.maximum(demand, 1)
-        weights = np.exp(RATE * (uncovered - uncovered.max()))
-        prices = np.where(left > 0, natural * (1 + 0.9 / capacity * weights), 0.0)
-        best = _best_values(prices, capacity)
-        before = left.copy()
-        for _ in range(TRACES):
-            found = _trace(best, prices, capacity, 0.02 / capacity, rng)
-            times = min((int(left[n]) // k for n, k in found), default=0)
-            if times and sum(n * k for n, k in found) == capacity:
-                times = max(1, int(times * SHARE))
-                chosen[found] += times
-                for n, k in found:
-                    left[n] -= k * times
-        if (before == left).all():
-            break
-    for found, times in _merged(_best_fit(left + rest, capacity)).items():
-        chosen[found] += times
-    return chosen
+def _multiplicative_weights(demand: np.ndarray, capacity: int, rng: np.random.Generator) -> tuple[dict[Configuration, float], float]:
+    """(uses of configurations, bound): a fractional solution, which covers tokens as often as they occur.
+
+    A length's price falls by a rate for each time that its demand is covered, in as many phases as there are RATES, each
+    of which starts at the prices that the one before ended at, with nothing covered. Uses are those of the last phase over
+    the share of tokens that they cover; they cover each length, once the weights have evened out. The bound is that of the
+    best prices: no plan has fewer sequences.
+    """
+    sizes = np.flatnonzero(demand)
+    wanted = demand[sizes].astype(float)
+    at = {int(n): i for i, n in enumerate(sizes)}
+    base, tokens = sizes / capacity, wanted @ sizes
+    bound = tokens / capacity
+    for rate, knapsacks in RATES:
+        covered, used = np.zeros(len(sizes)), defaultdict(float)
+        for _ in range(knapsacks):
+            prices = np.zeros(capacity + 1)
+            prices[sizes] = base * np.exp(rate * (covered.min() - covered))
+            best = _best_values(prices, capacity)
+            bound = max(bound, wanted @ prices[sizes] / best[capacity])
+            for _ in range(TRACES):
+                found = _trace(best, prices, capacity, SLACK * best[capacity], rng)
+                own, k = [at[n] for n, _ in found], np.array([k for _, k in found], float)
+                step = (wanted[own] / k).min()
+                used[found] += step
+                covered[own] += step * k / wanted[own]
+            if sum(used.values()) <= covered.min() * bound * (1 + GAP):
+                return {found: times / covered.min() for found, times in used.items()}, bound
+        base = prices[sizes] / best[capacity]
+    share = covered @ (wanted * sizes) / tokens
+    return {found: times / share for found, times in used.items()}, bound
 
 
 class _Program:
@@ -331,12 +366,12 @@ class _Program:
             stay = bool(hits) or not stayed
 
 
-def _covering(demand: np.ndarray, capacity: int, pool: list[Configuration], rng: np.random.Generator) -> dict[Configuration, int]:
-    """The plan of the linear program: its solution rounded down, and best fit for what that leaves."""
-    program = _Program(demand, capacity)
-    program.solve(pool, KNAPSACKS, rng)
+def _rounded(used: dict[Configuration, float], demand: np.ndarray, capacity: int, least: float) -> dict[Configuration, int]:
+    """Uses rounded down, of configurations filled to least or more, and best fit for what that leaves."""
     left, chosen = demand.copy(), defaultdict(int)
-    for found, part in zip(program.basis, program.times, strict=True):
+    for found, part in sorted(used.items(), key=lambda f: (-sum(n * k for n, k in f[0]), f[0])):
+        if sum(n * k for n, k in found) < least:
+            break
         times = min(int(part + 1e-6), *(int(left[n]) // k for n, k in found))
         if times:
             chosen[found] += times
@@ -347,8 +382,11 @@ def _covering(demand: np.ndarray, capacity: int, pool: list[Configuration], rng:
     return chosen
 
 
-def solve_configurations(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS, seed: int = 0) -> list[tuple[Configuration, int]]:
-    """[(configuration, times)] that use each length exactly as often as counts says. Runs on the driver, over lengths only."""
+def solve_configurations(counts: dict[int, int], capacity: int = CAPACITY, seed: int = 0) -> list[tuple[Configuration, int]]:
+    """[(configuration, times)] that use each length exactly as often as counts says. Runs on the driver, over lengths only.
+
+    Of the plans made, the shortest is returned: the weights' solution, rounded; where that is not good, the finished program, rounded, and best fit alone.
+    """
     demand = np.zeros(capacity + 1, np.int64)
     for n, c in counts.items():
         if not 1 <= n <= capacity:
@@ -356,12 +394,17 @@ def solve_configurations(counts: dict[int, int], capacity: int = CAPACITY, round
         demand[n] = c
     whole = {((capacity, 1),): int(demand[capacity])} if demand[capacity] else {}
     demand[capacity] = 0
+    if not demand.any():
+        return sorted(whole.items())
     rng = np.random.Generator(np.random.PCG64(seed))
-    plans = [_exact_fills(demand, capacity, rounds, rng), _merged(_best_fit(demand.copy(), capacity))]
-    # No plan has fewer sequences than the tokens fill.
-    bound = -(-int(demand @ np.arange(capacity + 1)) // capacity)
-    if min(sum(p.values()) for p in plans) > bound * (1 + GAP):
-        plans.append(_covering(demand, capacity, [*plans[1]], rng))
+    used, bound = _multiplicative_weights(demand, capacity, rng)
+    tight = bound <= demand @ np.arange(capacity + 1) / capacity * (1 + GAP)
+    plans = [_rounded(used, demand, capacity, (1 - GAP) * capacity if tight else 0)]
+    if sum(plans[0].values()) > bound * (1 + GAP) + 1:
+        plans.append(_merged(_best_fit(demand.copy(), capacity)))
+        program = _Program(demand, capacity)
+        program.solve([*used, *plans[1]], KNAPSACKS, rng)
+        plans.append(_rounded(dict(zip(program.basis, program.times, strict=True)), demand, capacity, 0))
     return sorted((whole | min(plans, key=lambda p: sum(p.values()))).items())
 
 
@@ -379,24 +422,25 @@ def places(plan: list[tuple[Configuration, int]]) -> dict[str, np.ndarray]:
     return dict(zip(("length", "first", "sequence", "each", "offset"), columns, strict=True))
 
 
-def rank_in_length(pieces: DataFrame, total: int) -> DataFrame:
-    """pieces with rank, from 0 without gaps within each length. Common lengths are cut into cells of about CELL rows."""
-    salts = max(1, total // CELL)
-    cells = pieces.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+def rank_in_length(cells: DataFrame) -> DataFrame:
+    """cells, pieces with a salt of their own in __salt, with rank, from 0 without gaps within each length."""
     sizes = cells.groupBy("length", "__salt").agg(F.count("*").alias("n"))
     before = sizes.selectExpr("length", "__salt", "sum(n) OVER (PARTITION BY length ORDER BY __salt) - n AS __before")
     own = F.row_number().over(Window.partitionBy("length", "__salt").orderBy("doc_id", "piece", "ids_crc32"))
     return cells.withColumn("__own", own).join(before, ["length", "__salt"]).withColumn("rank", F.col("__before") + F.col("__own") - 1).drop("__salt", "__own", "__before")
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
-    """pieces (a stored table, as it is read three times) with sequence_id and offset.
+def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """The columns of pieces, as token_pieces gives them, with sequence_id and offset.
 
-    Every piece has one place; offsets within a sequence have no gaps, from 0. An empty table gives no rows.
+    Every piece has one place; offsets within a sequence have no gaps, from 0. Pieces of one length take its places in
+    any order, so ties and repeated rows need no rule. An empty table gives no rows.
     """
-    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    where = places(solve_configurations(counts, capacity, rounds))
-    ranked = rank_in_length(pieces, sum(counts.values()))
+    salt = F.floor(F.rand(7) * SALTS).cast("int")
+    stored = stage_table(pieces.withColumn("__salt", salt), "pieces")
+    counts = {r["length"]: r["n"] for r in stored.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    where = places(solve_configurations(counts, capacity))
+    ranked = rank_in_length(stored)
     columns = pieces.columns
     names = [*columns, "sequence_id", "offset"]
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
@@ -415,6 +459,5 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> D
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = token_pieces(spread(documents(spark, sf_dir)), public_tokenizers.path("word_bpe_49k.json"))
-    packed = pack(stage_table(pieces, "pieces"))
+    packed = pack(token_pieces(spread(documents(spark, sf_dir)), public_tokenizers.path("word_bpe_49k.json")))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

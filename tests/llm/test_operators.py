@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -195,14 +196,36 @@ def test_packing(docs, empty):
     for key, text in TEXTS:
         ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
         wanted += [(key, i // 2048, i, len(ids[i : i + 2048]), zlib.crc32(ids[i : i + 2048].tobytes())) for i in range(0, len(ids), 2048)]
-    rows = packing.pack(stage_table(packing.token_pieces(docs, path, keep_ids=True), "pieces")).collect()
+    rows = packing.pack(packing.token_pieces(docs, path, keep_ids=True)).collect()
     assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows), key=repr) == sorted(wanted, key=repr)
     for number in {r.sequence_id for r in rows}:
         own = sorted((r for r in rows if r.sequence_id == number), key=lambda r: r.offset)
         assert [r.offset for r in own] == [sum(x.length for x in own[:i]) for i in range(len(own))]
         assert sum(r.length for r in own) <= 2048
     assert len({r.sequence_id for r in rows}) == -(-sum(r.length for r in rows) // 2048)
-    assert packing.pack(stage_table(packing.token_pieces(empty, path), "pieces")).count() == 0
+    assert packing.pack(packing.token_pieces(empty, path)).count() == 0
+
+
+def test_ids_equal_the_tokenizer():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, coder, rng = Tokenizer.from_file(path), packing.WordIds(path), np.random.default_rng(0)
+    letters = [*"abzAZ éÉİıßẞΣσςǅŉ.,!?;:%&*$#|'\"<>()012\u0338\u0301\u0307\u200d\xa0\u3000中あ한ᄀ각ªº١Ⅷ²\ue000\n\t", "'s", "'LL", "<|endoftext|>", "<|ENDOFTEXT|>", "İ.", "ﬁ"]
+    texts = ["".join(rng.choice(letters, rng.integers(0, 25))) for _ in range(20_000)] + ["İ,", "x" * 5000 + "!?"]
+    for some in (texts[:7000], texts[7000:], texts):
+        ids, offsets = coder(pa.array(some))
+        for i, text in enumerate(some):
+            assert ids[offsets[i] : offsets[i + 1]].tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_weights_solve_the_program():
+    # Best fit puts two of 700 with one of 500 and leaves the rest worse; the program's value is 3174.5.
+    demand = np.zeros(2049, np.int64)
+    for n, c in {700: 3000, 500: 5000, 400: 2000, 1100: 800}.items():
+        demand[n] = c
+    used, bound = packing._multiplicative_weights(demand, 2048, np.random.default_rng(0))
+    plan = packing._rounded(used, demand, 2048, 0)
+    assert 3170 <= bound <= 3200 and all(sum(n * k for n, k in c) <= 2048 for c in plan)
+    assert sum(plan.values()) <= 3220 < sum(packing._best_fit(demand.copy(), 2048).values())
 
 
 @pytest.mark.parametrize("seed", range(4))

@@ -49,7 +49,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's tokens in sequences of at most 2048."""
-    pieces = stage_table(token_pieces(spread(docs), public_tokenizers.path("word_bpe_49k.json")), "pieces")
+    pieces = token_pieces(spread(docs), public_tokenizers.path("word_bpe_49k.json"))
     return pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

@@ -166,7 +166,8 @@ def entropy(s):
 
 def looks_dense(c):
     """The entropy rule in words of its own."""
-    if re.search("(?i)example|sample|placeholder|dummy|xxxx|changeme|your[_-]|0123456789|abcdefghij", c) or not re.search("[A-Za-z0-9]", c):
+    words = "(?i)example|sample|placeholder|dummy|xxxx|changeme|your[_-]|0123456789|abcdefghij"
+    if len(c) <= 80 and re.search(words, c) or not re.search("[A-Za-z0-9]", c):
         return False
     letters, digits, longest = re.search("[A-Za-z]", c), re.search("[0-9]", c), max(map(len, re.findall("[A-Za-z]+|[0-9]+", c)))
     if not digits and c[0].isalpha() and longest < 16 or not letters and c[0].isdigit() and longest < 20:

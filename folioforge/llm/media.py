@@ -78,16 +78,20 @@ def unfilter(kinds: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def read_png(stored: bytes) -> np.ndarray:
-    """Pixels of an 8-bit grey, not interlaced PNG. ValueError for a bad signature, checksum, header or length."""
+    """Pixels of an 8-bit grey, not interlaced PNG. ValueError for all that is damaged, cut short or of another kind."""
     if stored[:8] != SIGNATURE:
         raise ValueError("no PNG signature")
     at, data, shape, ended = 8, [], None, False
     while at < len(stored) and not ended:
+        if len(stored) < at + 12:
+            raise ValueError(f"chunk at {at} is cut short")
         length, kind = struct.unpack_from(">I4s", stored, at)
         body = stored[at + 8 : at + 8 + length]
         if len(stored) < at + 12 + length or zlib.crc32(kind + body) != struct.unpack_from(">I", stored, at + 8 + length)[0]:
             raise ValueError(f"chunk {kind!r} at {at} fails its checksum")
         if kind == b"IHDR":
+            if length != 13:
+                raise ValueError("IHDR is not of 13 bytes")
             width, height, *form = struct.unpack(">IIBBBBB", body)
             if form != [8, 0, 0, 0, 0]:
                 raise ValueError(f"only 8-bit grey without interlace is read, not {form}")
@@ -98,10 +102,15 @@ def read_png(stored: bytes) -> np.ndarray:
         at += 12 + length
     if shape is None or not ended:
         raise ValueError("IHDR or IEND is missing")
-    raw = np.frombuffer(zlib.decompress(b"".join(data)), np.uint8)
+    try:
+        raw = np.frombuffer(zlib.decompress(b"".join(data)), np.uint8)
+    except zlib.error as error:
+        raise ValueError(f"image data is damaged: {error}") from error
     if raw.size != shape[0] * (shape[1] + 1):
         raise ValueError("image data and header differ in size")
     raw = raw.reshape(shape[0], shape[1] + 1)
+    if (raw[:, 0] > PAETH).any():
+        raise ValueError("a row has an unknown filter")
     return unfilter(raw[:, 0], raw[:, 1:])
 
 

@@ -26,6 +26,8 @@ from .kernel import blocks
 
 #: Encoded pieces kept per worker; beyond it the memo starts anew.
 MEMO_PIECES = 200_000
+#: Pairs of adjacent tokens whose compatibility a worker keeps at most; beyond it the memo starts anew.
+MEMO_PAIRS = 400_000
 #: Bytes of text or ids taken at once.
 BLOCK = 1 << 20
 
@@ -85,6 +87,8 @@ class BytePairCodec:
         key = (left, right)
         known = self.fits.get(key)
         if known is None:
+            if len(self.fits) >= MEMO_PAIRS:
+                self.fits.clear()
             known = self.fits[key] = self._joins(left, right, self.no_limit)
         return known
 

@@ -202,6 +202,12 @@ def training_rows(labels: DataFrame, label: str, usable: Column, rows: int = TRA
     return picked.orderBy(F.xxhash64(key), label).limit(rows)
 
 
+def one_text(docs: DataFrame, sample: DataFrame, label: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(text, label) of each row of a small sample; of documents that share a key, the one whose text has the least hash."""
+    found = docs.select(F.col(key), text_of(text).alias("text")).join(F.broadcast(sample.distinct()), key)
+    return found.groupBy(key, label).agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", label)
+
+
 def _map_texts(docs: DataFrame, columns: list[str], text: str, ddl: str, made) -> DataFrame:
     """columns of docs and what made(texts) returns as Arrow arrays."""
 
@@ -215,9 +221,14 @@ def _map_texts(docs: DataFrame, columns: list[str], text: str, ddl: str, made) -
 
 
 def learn_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 4, held: int = 2, rows: int = TRAINING_ROWS) -> AdditiveModel:
-    """A model of labels.quality from rows whose crc32(doc_id) mod modulus is not held; only text features go in."""
+    """A model of labels.quality from rows whose crc32(doc_id) mod modulus is not held; only text features go in.
+
+    At most rows labels are drawn, those of the least hash, and each takes one document. Labels that are null or neither 0
+    nor 1, and those of null keys or without a document, are not used; null texts count as empty. A document with two
+    labels is learned once for each. Without labels, or with one value only, the score is one number for all texts.
+    """
     sample = training_rows(labels, label, key_crc("doc_id") % modulus != held, rows)
-    labelled = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    labelled = one_text(docs, sample, label)
     made = lambda t: ([pa.array(list(text_features(t)), pa.list_(pa.float64()))], ["x"])
     got = _map_texts(labelled, [label], "text", "x array<double>", made).toPandas()
     # Sorted, as rows arrive in any order and sums of floats depend on it.

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, spread, text_of
-from .gam import _map_texts, key_crc, training_rows
+from .gam import _map_texts, key_crc, one_text, training_rows
 
 #: Labelled rows of each kind that a model learns from at most.
 TOXIC_ROWS, ORDINARY_ROWS = 2_000, 3_000
@@ -95,7 +95,7 @@ def toxic_stretches(toxic: list[str], ordinary: list[str]) -> Counter[bytes]:
 
 
 def _train(size: int, samples: list[bytes], **shape) -> bytes:
-    """A zstandard dictionary; where there are too few samples to train one, the last of them."""
+    """A zstandard dictionary; where zstandard finds the samples too few to train one, the last of them."""
     try:
         return zstandard.train_dictionary(size, samples, **shape).as_bytes()
     except zstandard.ZstdError:
@@ -165,7 +165,7 @@ class ToxicityModel:
         if len(toxic) < 6 or len(ordinary) < 6:
             return cls(constant=min(share, 0.49))
         learned = lambda texts: [t for i, t in enumerate(texts) if i % 3]
-        ordinary_bytes = _train(ORDINARY_BYTES, [w for t in learned(ordinary) for w in windows(t)][:40_000])
+        ordinary_bytes = _train(ORDINARY_BYTES, [w for t in learned(ordinary) for w in windows(t)])
         stretches = toxic_stretches(learned(toxic), learned(ordinary))
         samples = [s for s, n in sorted(stretches.items()) for _ in range(n)]
         check, y = toxic[::3] + ordinary[::3], np.array([1.0] * len(toxic[::3]) + [0.0] * len(ordinary[::3]))
@@ -179,11 +179,16 @@ class ToxicityModel:
 
 
 def learn_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0) -> ToxicityModel:
-    """A model of labels.toxic from at most TOXIC_ROWS + ORDINARY_ROWS rows whose crc32(doc_id) mod modulus is not held."""
+    """A model of labels.toxic from at most TOXIC_ROWS + ORDINARY_ROWS rows whose crc32(doc_id) mod modulus is not held.
+
+    Labels are drawn by the least hash, and each takes one document, of which all windows are used. Labels that are null or
+    neither 0 nor 1, and those of null keys or without a document, are not used; null texts count as empty. With fewer than
+    six rows of either kind the score is one number for all texts.
+    """
     usable = key_crc("doc_id") % modulus != held
     kinds = [training_rows(labels, "toxic", usable & (F.col("toxic") == value), rows) for value, rows in ((1, TOXIC_ROWS), (0, ORDINARY_ROWS))]
     sample = kinds[0].unionByName(kinds[1])
-    got = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(sample), "doc_id").select("text", "toxic").toPandas()
+    got = one_text(docs, sample, "toxic").toPandas()
     # In an order of their own, as rows arrive in any.
     texts = {value: sorted(got["text"][got["toxic"] == value], key=lambda t: (zlib.crc32(t.encode()), t)) for value in (0, 1)}
     return ToxicityModel.learn(texts[1], texts[0])

@@ -81,6 +81,11 @@ def test_png_checks_and_filters():
         for at in (3, 20, len(stored) // 2, len(stored) - 5):
             with pytest.raises(ValueError):
                 media.read_png(stored[:at] + bytes([stored[at] ^ 1]) + stored[at + 1 :])
+            with pytest.raises(ValueError):
+                media.read_png(stored[:at])
+        for bad in (b"no zlib data", zlib.compress(b"\x09" + bytes(64)), zlib.compress(bytes(5))):
+            with pytest.raises(ValueError):
+                media.read_png(stored[:33] + media._chunk(b"IDAT", bad) + media._chunk(b"IEND", b""))
         kinds, residues, out = rng.integers(0, 5, height), rng.integers(0, 256, (height, 64), dtype=np.uint8), np.zeros((height, 64), int)
         for y in range(height):
             for x in range(64):
@@ -121,6 +126,19 @@ def test_shards(docs, empty):
     assert sharding.shuffle_into_shards(empty, 4).count() == 0
 
 
+def test_shards_of_equal_rows(spark):
+    rows = [(7, "one text in most rows of all")] * 3000 + [(None, f"a null key and text {i}") for i in range(800)] + [(8, None)] * 200
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    done = sharding.write_shards(df, 8, seed=3, bucket_bytes=10_000)
+    got = done.collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(rows)
+    for s in range(8):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(500))
+    stored = sharding.fixed(df)
+    sizes = [r["count"] for r in sharding.scatter(stored, "doc_id", "text", 3, 12, 10_000).groupBy("__bucket").count().collect()]
+    assert len(sizes) == 12 and max(sizes) < 2 * 4000 / 12
+
+
 def test_fisher_yates_is_uniform():
     counts = Counter(tuple(sharding.fisher_yates(3, [seed])) for seed in range(6000))
     assert len(counts) == 6 and all(850 < n < 1150 for n in counts.values())

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, spread, text_of
-from .kernel import blocks
+from .kernel import blocks, tidied
 
 #: Encoded pieces kept per worker; beyond it the memo starts anew.
 MEMO_PIECES = 200_000
@@ -163,7 +163,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str = public_tokenizer
             ids = [coder.encode(t.as_py()) for t in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array(ids, pa.binary())], names=[key, "ids"])
 
-    return docs.select(F.col(key), text_of(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(F.col(key), text_of(text).alias("__text")).mapInArrow(tidied(run), schema)
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, key: str = "doc_id") -> DataFrame:
@@ -176,7 +176,7 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str = public_tokeni
             out = [None if x is None else coder.decode(x) for x in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=[key, "ids", "decoded"])
 
-    return encoded.select(F.col(key), "ids").mapInArrow(run, schema)
+    return encoded.select(F.col(key), "ids").mapInArrow(tidied(run), schema)
 
 
 def reference_ids(piece: bytes, ranks: dict[bytes, int]) -> list[int]:

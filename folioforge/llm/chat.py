@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import extend
-from .kernel import blocks, utf8
+from .kernel import blocks, tidied, utf8
 
 OPEN, COLON, CLOSE = b"### ", b": ", b"</turn>\n"
 #: Bytes of text assembled at once; a longer text is a slice of its own, whose indices are made in steps of STEP bytes.
@@ -131,7 +131,7 @@ def format_chat(turns: DataFrame, trained_role: str = "assistant") -> DataFrame:
             parts = pa.array([next(part) for _ in first], pa.int64())
             yield pa.record_batch([ids.take(pa.array(first)), pa.array(np.full(len(first), task, np.int32)), parts, formatted, loss], names=schema.names)
 
-    return ordered.mapInArrow(run, schema)
+    return ordered.mapInArrow(tidied(run), schema)
 
 
 DIGEST = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -185,7 +185,7 @@ def digest_chat(parts: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array([c], k) for c, k in zip((current, *folded.row()), kinds, strict=True)], names=schema.names)
 
     ordered = parts.repartition("conv_id").sortWithinPartitions("conv_id", "part_partition", "part")
-    return ordered.mapInArrow(run, schema)
+    return ordered.mapInArrow(tidied(run), schema)
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

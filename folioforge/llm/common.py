@@ -40,14 +40,21 @@ def stage_table(df: DataFrame, label: str, partition_by: list[str] | None = None
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release_staged() -> None:
-    """Delete every table staged so far. Call it once results that read them are no longer needed."""
-    while _staged:
+def staged_tables() -> int:
+    """How many tables are staged now: a mark for release_staged."""
+    return len(_staged)
+
+
+def release_staged(since: int = 0, but_last: bool = False) -> None:
+    """Delete the tables staged since a mark, or all but the last of them, once results that read them are not needed."""
+    last = [_staged.pop()] if but_last and len(_staged) > since else []
+    while len(_staged) > since:
         spark, path = _staged.pop()
         jvm = spark.sparkContext._jvm
         if jvm is not None and spark.sparkContext._jsc is not None:
             target = jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    _staged.extend(last)
 
 
 atexit.register(release_staged)
@@ -82,6 +89,11 @@ def keep_clear(df: DataFrame, reserved: list[str]) -> DataFrame:
     return df.toDF(*names) if names != df.columns else df
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """All columns of df as one struct, row, beside which names are free."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value computed once and held as a lambda variable rather than inlined where it is used."""
     return F.element_at(F.transform(F.array(value), body), 1)

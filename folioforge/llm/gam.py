@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, spread, text_of
-from .kernel import blocks, shingle_hashes, utf8, word_hashes, words
+from .kernel import blocks, shingle_hashes, tidied, utf8, word_hashes, words
 
 BLOCK = 1 << 20
 #: Labelled rows that a model learns from at most: those of the least hash of their key.
@@ -217,7 +217,7 @@ def _map_texts(docs: DataFrame, columns: list[str], text: str, ddl: str, made) -
             yield pa.record_batch([*batch.columns[:-1], *arrays], names=[*columns, *names])
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return docs.select(*columns, text_of(text).alias("__text")).mapInArrow(run, f"{fields}, {ddl}")
+    return docs.select(*columns, text_of(text).alias("__text")).mapInArrow(tidied(run), f"{fields}, {ddl}")
 
 
 def learn_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 4, held: int = 2, rows: int = TRAINING_ROWS) -> AdditiveModel:

@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 
 from .common import documents, spread, stage_table, text_of
 from .components import components, contract
-from .kernel import blocks, shingle_sets
+from .kernel import blocks, shingle_sets, tidied
 
 FRAGMENTS, LEADING = 8, 3
 #: Bits of the filter that is broadcast to fetch candidates' texts: 4 MB whatever the input; a full filter drops nothing.
@@ -98,7 +98,7 @@ def shingle_table(docs: DataFrame, percent: int, key: str = "doc_id", text: str
 
     kind = docs.schema[key].dataType.simpleString()
     read = docs.select(F.col(key), row_id(key, text).alias("__row"), text_of(text).alias("__text"))
-    return read.mapInArrow(run, f"doc_id {kind}, row long, n long, sid long, leading array<long>, n_leading long, sketch array<long>")
+    return read.mapInArrow(tidied(run), f"doc_id {kind}, row long, n long, sid long, leading array<long>, n_leading long, sketch array<long>")
 
 
 def common_shingles(table: DataFrame) -> DataFrame:
@@ -238,7 +238,7 @@ def segments(docs: DataFrame, table: DataFrame, wanted: DataFrame, key: str, tex
             numbers = np.tile(np.arange(FRAGMENTS, dtype=np.int32), len(sids))
             yield pa.record_batch([pa.array(np.repeat(np.array(sids, np.int64), FRAGMENTS)), pa.array(np.repeat(np.array(sizes, np.int64), FRAGMENTS)), pa.array(numbers), _lists(parts)], names=["sid", "n", "fragment", "segment"])
 
-    made = near.select("sid", "__text").mapInArrow(run, "sid long, n long, fragment int, segment array<long>")
+    made = near.select("sid", "__text").mapInArrow(tidied(run), "sid long, n long, fragment int, segment array<long>")
     return stage_table(made.dropDuplicates(["sid", "fragment"]), "segments")
 
 

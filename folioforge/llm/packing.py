@@ -28,12 +28,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import documents, spread, stage_table, text_of
-from .kernel import blocks, utf8
+from .kernel import blocks, tidied, utf8
 
 CAPACITY = 2048
 BLOCK = 4 << 20
 #: Words without end marks whose ids a worker keeps at least.
-MEMO_STEMS = 120_000
+MEMO_STEMS = 80_000
 #: Marks at a word's end that are symbols to the tokenizer, and so never join a letter before them.
 END_MARKS = ".,!?;:%&*$#|"
 #: Stands between words that are encoded together; no word holds it.
@@ -207,7 +207,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
 
     kind = docs.schema[key].dataType.simpleString()
     ddl = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
-    return docs.select(F.col(key), text_of(text).alias("__text")).mapInArrow(run, ddl)
+    return docs.select(F.col(key), text_of(text).alias("__text")).mapInArrow(tidied(run), ddl)
 
 
 def _best_values(prices: np.ndarray, capacity: int) -> np.ndarray:
@@ -455,7 +455,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             made = [where["sequence"][run_of] + inner // each, where["offset"][run_of] + inner % each * n]
             yield pa.record_batch([*(batch.column(c) for c in columns), *(pa.array(m, pa.int64()) for m in made)], names=names)
 
-    return ranked.mapInArrow(run, ddl)
+    return ranked.mapInArrow(tidied(run), ddl)
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, documents, let, spread, text_of
+from .common import SPACE, documents, let, packed, spread, text_of
 
 #: Frequent function words of the four languages, compared in lower case without edge punctuation.
 STOP_WORDS = (
@@ -117,15 +117,15 @@ def apply_rules(docs: DataFrame, thresholds=THRESHOLDS, text: str = "text", keep
 
 
 def keep_passing(docs: DataFrame, thresholds=THRESHOLDS, text: str = "text") -> DataFrame:
-    """Rows of docs that no rule rejects.
+    """Rows of docs that no rule rejects; columns of docs may have any names.
 
     The verdict is one lambda over the measures: a filter over columns made from them would be pushed below them, and
     would measure the text once for each column that it names.
     """
     verdict = " AND ".join([f"NOT ({BASE_FAILED})", *(f"NOT (n_words >= {least} AND ({rule}))" for _, rule, least in thresholds)])
     bound = re.sub(rf"\b({'|'.join(MEASURES)})\b", r"m.\1", verdict)
-    measured = docs.withColumn("__measures", F.array(measure(text_of(text))))
-    return measured.filter(F.expr(f"exists(__measures, m -> {bound})")).select(docs.columns)
+    measured = packed(docs).withColumn("measures", F.array(measure(text_of(f"row.{text}"))))
+    return measured.filter(F.expr(f"exists(measures, m -> {bound})")).select("row.*")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

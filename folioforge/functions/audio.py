@@ -18,6 +18,20 @@ def silence(sample_rate: Column, milliseconds: Column, channels: Column) -> Colu
     return F.array_repeat(F.lit(0.0).cast("float"), (silence_frames(sample_rate, milliseconds) * channels).cast("int"))
 
 
+def shape_fault(samples: Column, channels: Column) -> Column:
+    """Why interleaved samples are no whole frames: channels or length; null if they are."""
+    return F.when(channels.isNull() | (channels < 1), "channels").when(F.size(samples) % channels != 0, "length")
+
+
+def frames(samples: Column, channels: Column) -> Column:
+    """Interleaved samples as an array of frames, each an array of one sample a channel. What is no whole frames is refused."""
+    fault = shape_fault(samples, channels)
+    count = (F.size(samples) / channels).cast("int")
+    cut = F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.slice(samples, i * channels + 1, channels))).otherwise(F.array().cast("array<array<float>>"))
+    refused = F.raise_error(F.concat(F.lit("samples are no frames: "), fault)).cast("array<array<float>>")
+    return F.when(fault.isNull(), cut).otherwise(refused)
+
+
 def peak(samples: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(samples, F.abs)), F.lit(0.0).cast("float"))
 

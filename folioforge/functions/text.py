@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # Fixed values, equal to what existing manifests and chapters were made with.
 #: The 29 code points that count as white space.
 WS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+WS_CHARACTERS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 ABBREVIATIONS = ("Mr.", "Mrs.", "Ms.", "Dr.", "Prof.", "Sr.", "Jr.", "St.", "Mt.", "No.", "vs.", "etc.", "e.g.", "i.e.", "U.S.", "U.K.")
 ENDS, CLOSERS, SOFT_BREAKS = ".!?…。！？", "'\"”’)\\]", ",;:،，、؛"
 DOT, DECIMAL = "<DOT>", "<DECIMAL>"
@@ -29,12 +30,13 @@ def bind(value: Column, body) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, f"^{WS}+", ""), rf"{WS}+\z", "")
+    return F.btrim(text, F.lit(WS_CHARACTERS))
 
 
 def normalize(text: Column) -> Column:
     """Line feeds only, single spaces, stripped lines, no more than one blank line in a row."""
-    lines = F.transform(F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n"), lambda s: strip(F.regexp_replace(s, "[ \t]+", " ")))
+    single = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), "[ \t]{2,}|\t", " ")
+    lines = F.transform(F.split(single, "\n"), strip)
     return strip(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"))
 
 
@@ -46,7 +48,7 @@ def protect(text: Column) -> Column:
     """Dots of abbreviations, in list order, then between digits, by placeholders."""
     for short in ABBREVIATIONS:
         text = F.replace(text, F.lit(short), F.lit(short.replace(".", DOT)))
-    return F.regexp_replace(text, r"(?U)(?<=\d)\.(?=\d)", DECIMAL)
+    return F.regexp_replace(text, r"(?U)\.(?=\d)(?<=\d\.)", DECIMAL)
 
 
 def restore(text: Column) -> Column:
@@ -60,13 +62,14 @@ def sentences(paragraph: Column) -> Column:
 
 def pack(units: Column, limit: int) -> Column:
     """Units joined by a space as long as limit allows; a unit that does not fit starts a new pack. Order is kept."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("cur"))
-
-    def step(state: Column, unit: Column) -> Column:
-        over = F.length(state["cur"]) + 1 + F.length(unit) > limit
-        done = F.when(state["cur"].isNotNull() & over, F.concat(state["done"], F.array(state["cur"]))).otherwise(state["done"])
-        cur = F.when(state["cur"].isNull() | over, unit).otherwise(F.concat(state["cur"], F.lit(" "), unit))
-        return F.struct(done.alias("done"), cur.alias("cur"))
+    state = lambda done, cur, n: F.struct(done.alias("done"), cur.alias("cur"), n.alias("n"))
+    start = state(F.array().cast("array<string>"), F.lit(None).cast("string"), F.lit(0))
+
+    def step(s: Column, unit: Column) -> Column:
+        longer = s["n"] + 1 + F.length(unit)
+        first = F.when(s["cur"].isNull(), state(s["done"], unit, F.length(unit)))
+        over = first.when(longer > limit, state(F.concat(s["done"], F.array(s["cur"])), unit, F.length(unit)))
+        return over.otherwise(state(s["done"], F.concat(s["cur"], F.lit(" "), unit), longer))
 
     return F.aggregate(units, start, step, lambda s: F.when(s["cur"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["cur"]))))
 

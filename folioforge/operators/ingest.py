@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -41,6 +43,21 @@ def page_counts(judged: DataFrame) -> DataFrame:
     return judged.groupBy(*KEY).agg(F.count_if("kept").alias("kept_pages"), F.count_if(~F.col("kept")).alias("skipped_pages"))
 
 
+def extract_pdf(direct: DataFrame, recognise: Callable[[DataFrame], DataFrame], forced: bool = False, least_alnum: int = LEAST_DIRECT_ALNUM, least_words: int = LEAST_PAGE_WORDS, keep_low: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(chapters: KEY, text, used_ocr; judged pages) of PDF chapters.
+
+    direct holds KEY, text and what recognise needs to give pages (KEY, page_number, text) of chapters whose embedded text
+    is too short. Embedded text stays as it is; recognised pages are normalized, judged and combined. A chapter whose
+    pages all are empty has an empty text.
+    """
+    routed = route(direct.withColumn("text", F.coalesce("text", F.lit(""))), forced, least_alnum)
+    scanned = routed.filter("route = 'ocr'")
+    judged = judge_pages(recognise(scanned.drop("route")), least_words, keep_low)
+    combined = scanned.select(KEY).join(combine_pages(usable_pages(judged)), KEY, "left").withColumn("text", F.coalesce("text", F.lit("")))
+    whole = routed.filter("route = 'direct'").select(*KEY, "text", F.lit(False).alias("used_ocr"))
+    return whole.unionByName(combined.select(*KEY, "text", F.lit(True).alias("used_ocr"))), judged
+
+
 def number_pages(pages: DataFrame, order: str) -> DataFrame:
     """page_number from 1 by an order column, for sources that give none."""
     return pages.withColumn("page_number", F.row_number().over(Window.partitionBy(*KEY).orderBy(order)))

@@ -20,10 +20,10 @@ def explode_sentences(chapters: DataFrame) -> DataFrame:
     return pars.select(*KEY, "paragraph_index", F.posexplode(T.sentences(F.col("text"))).alias("sentence_index", "text")).withColumn("sentence_index", F.col("sentence_index") + 1)
 
 
-def segment_chapters(chapters: DataFrame, chunking: Chunking | None = None) -> DataFrame:
-    """Segments with chapter-wide numbers from 1 and stable ids. Chunks never cross paragraphs; empty chapters have none.
+def segment_arrays(chapters: DataFrame, chunking: Chunking | None = None) -> DataFrame:
+    """chapters with segments, an array of structs: chapter-wide numbers from 1 and stable ids.
 
-    Numbers come from places in one array a chapter, so no window or shuffle is needed.
+    Chunks never cross paragraphs; empty chapters have none. Numbers are places in the array, so that nothing is shuffled.
     """
     limit = (chunking or Chunking()).most
 
@@ -33,19 +33,18 @@ def segment_chapters(chapters: DataFrame, chunking: Chunking | None = None) -> D
             lambda c, k: F.struct((paragraph + 1).alias("paragraph_index"), c.alias("text"), (k == 0).alias("starts_paragraph"), (k == F.size(chunks) - 1).alias("ends_paragraph")),
         )
 
+    def record(piece, place):
+        index = place + 1
+        head = [T.segment_id(F.col("chapter_number"), index).alias("segment_id"), index.alias("index"), piece["paragraph_index"].alias("paragraph_index"), piece["text"].alias("text")]
+        return F.struct(*head, F.length(piece["text"]).alias("char_count"), piece["starts_paragraph"].alias("starts_paragraph"), piece["ends_paragraph"].alias("ends_paragraph"))
+
     pieces = F.flatten(F.transform(T.paragraphs(F.col("text")), lambda p, i: T.bind(T.chunks_of_paragraph(p, limit), lambda c: rows(c, i))))
-    placed = chapters.select(*KEY, F.posexplode(pieces).alias("place", "piece"))
-    index = (F.col("place") + 1).alias("index")
-    return placed.select(
-        *KEY,
-        T.segment_id(F.col("chapter_number"), F.col("place") + 1).alias("segment_id"),
-        index,
-        F.col("piece.paragraph_index").alias("paragraph_index"),
-        F.col("piece.text").alias("text"),
-        F.length("piece.text").alias("char_count"),
-        F.col("piece.starts_paragraph").alias("starts_paragraph"),
-        F.col("piece.ends_paragraph").alias("ends_paragraph"),
-    )
+    return chapters.withColumn("segments", F.transform(pieces, record))
+
+
+def segment_chapters(chapters: DataFrame, chunking: Chunking | None = None) -> DataFrame:
+    """One row a segment: KEY and the fields of segment_arrays. Chapters without segments give none."""
+    return segment_arrays(chapters, chunking).select(*KEY, F.explode("segments").alias("s")).select(*KEY, "s.*")
 
 
 def check_languages(chapters: DataFrame, strict: bool = True, column: str = "language") -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -25,13 +27,23 @@ def pending(segments: DataFrame) -> DataFrame:
     return segments.withColumns(fields)
 
 
-def build_manifest(chapters: DataFrame, segments: DataFrame, clock: Column | None = None) -> DataFrame:
-    """One row a chapter: the hash of its whole source text, and its records in order. Chapters without segments stay."""
+def _record(segment: Column, now: Column) -> Column:
+    """A segment of segment_arrays as a record that nothing was rendered for."""
+    null = lambda kind: F.lit(None).cast(kind)
+    new = {"status": F.lit("pending"), "audio_path": null("string"), "attempts": F.lit(0), "sample_rate": null("int"), "channels": null("int"), "duration_seconds": null("double"), "error": null("string"), "updated_at": now}
+    return F.struct(*(new.get(c, segment[c]).alias(c) for c in RECORD))
+
+
+def build_manifest(chapters: DataFrame, config: dict | None = None, clock: Column | None = None) -> DataFrame:
+    """One row a chapter of segment_arrays: the hash of its whole source text, the job's settings, its records in order.
+
+    All times are the same. Chapters without segments stay, with none. Nothing is shuffled.
+    """
     now = F.current_timestamp() if clock is None else clock
-    records = pending(segments).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("index", *(c for c in RECORD if c != "index")))).alias("segments"))
-    head = chapters.select(*KEY, "language", "chapter_source", source_hash(F.col("text")).alias("source_text_hash"))
-    made = head.join(records, KEY, "left").withColumn("created_at", now).withColumn("updated_at", now)
-    return made.withColumn("segments", F.coalesce("segments", F.array().cast(made.schema["segments"].dataType)))
+    settings = F.lit(None if config is None else json.dumps(config, ensure_ascii=False)).cast("string").alias("config")
+    records = F.transform("segments", lambda s: _record(s, now)).alias("segments")
+    head = [*KEY, "language", "chapter_source", source_hash(F.col("text")).alias("source_text_hash")]
+    return chapters.select(*head, now.alias("created_at"), now.alias("updated_at"), settings, records)
 
 
 def to_json(manifests: DataFrame) -> DataFrame:
@@ -42,6 +54,18 @@ def from_json(rows: DataFrame, schema) -> DataFrame:
     return rows.select(F.from_json("manifest", schema).alias("m")).select("m.*")
 
 
+def save_manifests(manifests: DataFrame, path: str, clock: Column | None = None) -> None:
+    """Write one JSON document a line below path, with updated_at set to now, in place of what was there."""
+    now = F.current_timestamp() if clock is None else clock
+    to_json(manifests.withColumn("updated_at", now)).select("manifest").write.mode("overwrite").text(path)
+
+
+def load_manifests(spark: SparkSession, path: str, schema, documents: bool = False) -> DataFrame:
+    """Manifests of save_manifests, or with documents of files that hold one JSON document each, over several lines."""
+    text = spark.read.text(path, wholetext=documents).withColumnRenamed("value", "manifest")
+    return from_json(text, schema)
+
+
 def compare_layout(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """Segments that differ: (SEGMENT_KEY, difference), one of missing, unexpected, moved and changed. Empty if all agree."""
     a = expected.select(*SEGMENT_KEY, F.col("index").alias("i1"), F.col("text").alias("t1"))
@@ -70,12 +94,6 @@ def resume(state: DataFrame, files: DataFrame, force: bool = False) -> DataFrame
     return seen.select(columns)
 
 
-def merge_segments(segments: DataFrame, existing: DataFrame, files: DataFrame, force: bool = False) -> DataFrame:
-    """New segments as pending, known ones resumed, by segment and without comparing texts. prepare compares chapters first."""
-    fresh = pending(segments).join(existing.select(SEGMENT_KEY), SEGMENT_KEY, "left_anti")
-    return resume(existing, files, force).unionByName(fresh.select(existing.columns))
-
-
 def chapter_violations(segments: DataFrame, existing: DataFrame, hashes: DataFrame, known_hashes: DataFrame) -> DataFrame:
     """(KEY, violation) of chapters with a known state that must not be resumed: text_changed or layout_changed.
 
@@ -138,7 +156,7 @@ def select_for_render(state: DataFrame, files: DataFrame, allow_partial: bool =
 
 def status_summary(state: DataFrame) -> DataFrame:
     count = lambda s: F.count_if(F.col("status") == s)
-    return state.groupBy(*KEY).agg(count("completed").alias("completed"), count("failed").alias("failed"), F.count_if(~F.col("status").isin("completed", "failed")).alias("other"))
+    return state.groupBy(*KEY).agg(count("completed").alias("completed"), count("failed").alias("failed"), F.count_if(~F.coalesce(F.col("status").isin("completed", "failed"), F.lit(False))).alias("other"))
 
 
 def first_failed(state: DataFrame, most: int = 10) -> DataFrame:
@@ -148,9 +166,11 @@ def first_failed(state: DataFrame, most: int = 10) -> DataFrame:
 
 
 def resume_summary(state: DataFrame, files: DataFrame) -> DataFrame:
+    """(KEY, ready, not_completed, open_ids): completed segments with a file, and the others' number and ids in order."""
     seen = with_presence(state, files)
-    ready = (F.col("status") == "completed") & F.col("exists")
-    return seen.groupBy(*KEY).agg(F.count_if(ready).alias("ready"), F.count_if(F.col("status") != "completed").alias("not_completed"))
+    done = F.coalesce(F.col("status") == "completed", F.lit(False))
+    open_ids = F.array_sort(F.collect_list(F.when(~done, F.struct("index", "segment_id"))))["segment_id"]
+    return seen.groupBy(*KEY).agg(F.count_if(done & F.col("exists")).alias("ready"), F.count_if(~done).alias("not_completed"), open_ids.alias("open_ids"))
 
 
 def snapshot(events: DataFrame) -> DataFrame:

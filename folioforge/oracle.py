@@ -150,14 +150,22 @@ SQL: dict[str, str] = {
     "manifest_build": f"""WITH {DOCUMENTS}, {segment_ctes('chapters', 500)}, m AS (SELECT book_id, chapter_number, count(*) AS n, string_agg({ID}, ',' ORDER BY index) AS ids FROM segments GROUP BY ALL)
         SELECT book_id, chapter_number, language, sha256(text) AS source_text_hash, coalesce(n, 0) AS n_segments, coalesce(ids, '') AS ids FROM chapters LEFT JOIN m USING (book_id, chapter_number)""",
     "manifest_json": f"""WITH {DOCUMENTS}, {segment_ctes('chapters', 500)}, m AS (SELECT book_id, chapter_number, count(*) AS n, string_agg(text, {NL} ORDER BY index) AS t FROM segments GROUP BY ALL)
-        SELECT book_id, chapter_number, coalesce(n, 0) AS n_segments, sha256(coalesce(t, '')) AS texts_sha256 FROM chapters LEFT JOIN m USING (book_id, chapter_number)""",
-    "config_manifest": "SELECT * FROM (VALUES ('book_id', 'my-book'), ('chapter_file', 'chapter.txt'), ('chapter_number', '3'), ('model', 'v3'), ('source_language', 'en'), ('target_language', 'fr')) v(name, value)",
+        SELECT book_id, chapter_number, coalesce(n, 0) AS n_segments, sha256(coalesce(t, '')) AS texts_sha256, 'my-book' AS config_book, CASE WHEN n IS NULL THEN '' ELSE 'pending' END AS statuses FROM chapters LEFT JOIN m USING (book_id, chapter_number)""",
+    "config_manifest": """SELECT * FROM (VALUES ('git', 'url', 'https://example.org/r.git'), ('git', 'branch', 'main'), ('git', 'directory', 'workspace'), ('git', 'private', 'false'),
+        ('chapter', 'book_id', 'my-book'), ('chapter', 'chapter_number', '3'), ('chapter', 'chapter_file', 'chapter.txt'), ('chapter', 'source_language', 'en'), ('chapter', 'target_language', 'fr'),
+        ('generation', 'voice_file', 'null'), ('generation', 'minimum_chunk_characters', '200'), ('generation', 'maximum_chunk_characters', '500'), ('generation', 'exaggeration', '0.5'),
+        ('generation', 'cfg_weight', '0.5'), ('generation', 'temperature', '0.8'), ('generation', 'maximum_retries', '3'), ('generation', 'force_regeneration', 'false'),
+        ('generation', 'allow_cpu_fallback', 'false'), ('generation', 'partial_export', 'false'),
+        ('silence', 'between_segments_ms', '250'), ('silence', 'between_paragraphs_ms', '500'), ('silence', 'chapter_prefix_ms', '400'), ('silence', 'chapter_suffix_ms', '800'),
+        ('export', 'export_mp3', 'true'), ('export', 'export_m4b', 'false'), ('export', 'mp3_bitrate', '192k'), ('export', 'm4b_bitrate', '96k'), ('export', 'normalize_peak', '0.98'),
+        ('paths', 'root', '/out'), ('paths', 'books_dir', '/out/books'), ('paths', 'voices_dir', '/out/voices'), ('paths', 'segments_dir', '/out/segments'), ('paths', 'chapters_dir', '/out/chapters'),
+        ('paths', 'manifests_dir', '/out/manifests'), ('paths', 'logs_dir', '/out/logs'), ('t3_model', '', 'v3')) v(block, name, value)""",
     "layout_check": f"""WITH {SEG} SELECT book_id, chapter_number, segment_id, CASE WHEN (chapter_number + index) % 11 = 0 THEN 'missing' ELSE 'changed' END AS difference
         FROM seg WHERE (chapter_number + index) % 11 = 0 OR index % 3 = 0""",
     "resume_state": f"""WITH {STATE} SELECT chapter_number, segment_id, {RESUMED} AS status, attempts, CASE WHEN status = 'completed' AND NOT present
         THEN 'Completed audio file was missing during resume.' WHEN status = 'failed' AND present THEN NULL ELSE error END AS error FROM seen""",
     "resume_forced": f"WITH {STATE} SELECT chapter_number, segment_id, 'pending' AS status, 0::BIGINT AS attempts, NULL::VARCHAR AS error FROM seen",
-    "prepare_state": f"WITH {STATE} SELECT chapter_number, segment_id, CASE WHEN index % 2 = 1 THEN {RESUMED} ELSE 'pending' END AS status, CASE WHEN index % 2 = 1 THEN attempts ELSE 0 END AS attempts FROM seen",
+    "prepare_state": f"WITH {STATE} SELECT chapter_number, segment_id, CASE WHEN chapter_number % 2 = 1 THEN {RESUMED} ELSE 'pending' END AS status, CASE WHEN chapter_number % 2 = 1 THEN attempts ELSE 0 END AS attempts FROM seen",
     "prepare_chapters": f"""WITH {STATE}, v AS (SELECT chapter_number, CASE WHEN chapter_number % 5 = 0 THEN 'text_changed'
         WHEN chapter_number % 11 = 0 AND bool_or(index = 1) OR chapter_number % 7 = 0 AND bool_or(index = 2) THEN 'layout_changed' END AS violation FROM st WHERE chapter_number % 3 <> 0 GROUP BY chapter_number)
         SELECT chapter_number, segment_id, CASE WHEN chapter_number % 3 = 0 THEN 'pending' WHEN violation IS NULL THEN {RESUMED} ELSE status END AS status,
@@ -171,10 +179,10 @@ SQL: dict[str, str] = {
     "status_summary": f"""WITH {STATE} SELECT book_id, chapter_number, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed,
         count(*) FILTER (status = 'pending') AS other FROM st GROUP BY ALL""",
     "first_failed": f"WITH {STATE} SELECT chapter_number, segment_id, row_number() OVER (PARTITION BY chapter_number ORDER BY index) AS place FROM st WHERE status = 'failed' QUALIFY place <= 2",
-    "resume_summary": f"WITH {STATE} SELECT book_id, chapter_number, count(*) FILTER (status = 'completed' AND present) AS ready, count(*) FILTER (status <> 'completed') AS not_completed FROM seen GROUP BY ALL",
-    "segment_lookup": f"WITH {SEG} SELECT chapter_number, segment_id, text FROM seg WHERE index = 2",
+    "resume_summary": f"WITH {STATE} SELECT book_id, chapter_number, count(*) FILTER (status = 'completed' AND present) AS ready, count(*) FILTER (status <> 'completed') AS not_completed, coalesce(string_agg(segment_id, ',' ORDER BY index) FILTER (status <> 'completed'), '') AS open_ids FROM seen GROUP BY ALL",
+    "segment_lookup": f"WITH {SEG} SELECT chapter_number, segment_id, text FROM seg",
     "retry_ledger": f"""WITH {_ATTEMPTS} SELECT chapter_number, segment_id, attempt, CASE WHEN contains(text, '?') THEN 'failed' ELSE 'completed' END AS status,
-        CASE WHEN contains(text, '?') THEN 'engine failure' END AS error, CASE WHEN contains(text, '?') THEN 0 ELSE 2400 END::BIGINT AS n_samples FROM tries""",
+        CASE WHEN contains(text, '?') THEN 'a question was refused' END AS error, CASE WHEN contains(text, '?') THEN 0 ELSE 2400 END::BIGINT AS n_samples FROM tries""",
     "event_snapshot": f"""WITH {_ATTEMPTS} SELECT chapter_number, segment_id, max(attempt) AS attempt, CASE WHEN contains(any_value(text), '?') THEN 'failed' ELSE 'completed' END AS status,
         CASE WHEN NOT contains(any_value(text), '?') THEN 0.1::DOUBLE END AS duration_seconds FROM tries GROUP BY chapter_number, segment_id""",
     "silence_timeline": f"""WITH {TIMED} SELECT chapter_number, segment_id, frames, pause_frames,
@@ -204,6 +212,12 @@ SQL: dict[str, str] = {
         CASE WHEN duration_seconds < 10 OR duration_seconds > 20 THEN 'duration_outside_10_to_20_seconds' ELSE '' END AS warnings FROM d""",
     "channel_mean": f"""WITH m AS (SELECT vec_id, list_transform(range(0, len(embedding) // 2), lambda n: ((embedding[(2 * n + 1)::INT]::DOUBLE + embedding[(2 * n + 2)::INT]::DOUBLE) / 2)::FLOAT) AS x FROM embeddings)
         SELECT vec_id, len(x)::BIGINT AS frames, {MILLI.format(x="x", v="v::DOUBLE")} AS milli FROM m""",
+    "frame_shapes": """SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN 'length' END AS fault, CASE WHEN vec_id % 5 <> 0 THEN len(embedding) // 2 END::BIGINT AS frames,
+        CASE WHEN vec_id % 5 <> 0 THEN round(embedding[3]::DOUBLE * 1000)::BIGINT END AS second_frame_milli FROM embeddings""",
+    "pdf_chapters": f"""WITH {TALKS}, clean AS (SELECT * REPLACE ({normalize("text")} AS text) FROM pages_in), judged AS (SELECT *, len({words("text")}) >= 12 AS kept FROM clean),
+        usable AS (SELECT * FROM (SELECT *, bool_or(kept AND text <> '') OVER (PARTITION BY chapter_number) AS any_kept FROM judged) WHERE text <> '' AND (kept OR NOT any_kept)),
+        ocr AS (SELECT chapter_number, {strip(f'string_agg(text, {NL} || {NL} ORDER BY page_number, text)')} AS whole FROM usable GROUP BY ALL)
+        SELECT chapter_number, {_ALNUM_TEXT} < 800 AS used_ocr, CASE WHEN {_ALNUM_TEXT} >= 800 THEN text ELSE coalesce(whole, '') END AS text FROM chapters LEFT JOIN ocr USING (chapter_number)""",
     "ffmpeg_command": """WITH w AS (SELECT doc_id + 1 AS chapter_number, printf('chapters/%s/%s_chapter_%03d.', source, source, doc_id + 1) AS stem FROM documents)
         SELECT chapter_number, 'mp3' AS kind, 'ffmpeg -y -i ' || stem || 'wav -vn -c:a libmp3lame -b:a 192k ' || stem || 'mp3' AS command FROM w
         UNION ALL SELECT chapter_number, 'm4b', 'ffmpeg -y -i ' || stem || 'wav -vn -c:a aac -b:a 96k -movflags +faststart -f mp4 ' || stem || 'm4b' FROM w""",

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from folioforge.functions import audio as A
 from folioforge.functions import text as T
 from folioforge.operators import audio, generate, ingest, segment, state
-from folioforge.plans.config import Chunking, Export, Generation, Job, Silence
+from folioforge.plans.config import Chunking, Export, Generation, Job, Repository, Silence
 from folioforge.sources import chapters as sources
 from folioforge.sources import wav
 
@@ -193,22 +193,24 @@ def suffix_dispatch(spark, sf_dir):
 
 
 def manifest_build(spark, sf_dir):
-    chapters = document_chapters(spark, sf_dir)
-    built = state.build_manifest(chapters, segment.segment_chapters(chapters, Chunking(200, LONG)))
+    built = state.build_manifest(segment.segment_arrays(document_chapters(spark, sf_dir), Chunking(200, LONG)))
     return built.select("book_id", F.col("chapter_number").cast("long").alias("chapter_number"), "language", "source_text_hash", F.size("segments").cast("long").alias("n_segments"), F.array_join("segments.segment_id", ",").alias("ids"))
 
 
 def manifest_json(spark, sf_dir):
-    chapters = document_chapters(spark, sf_dir)
-    built = state.build_manifest(chapters, segment.segment_chapters(chapters), F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    """Manifests as JSON and back; their settings are read again from the config inside."""
+    job = Job("My Book!", 3, "chapter.txt", " FR ")
+    built = state.build_manifest(segment.segment_arrays(document_chapters(spark, sf_dir)), job.to_manifest(), F.lit("2024-01-01 00:00:00").cast("timestamp"))
     back = state.from_json(state.to_json(built), built.schema)
-    return back.select("book_id", F.col("chapter_number").cast("long").alias("chapter_number"), F.size("segments").cast("long").alias("n_segments"), F.sha2(F.array_join("segments.text", "\n"), 256).alias("texts_sha256"))
+    return back.select("book_id", F.col("chapter_number").cast("long").alias("chapter_number"), F.size("segments").cast("long").alias("n_segments"), F.sha2(F.array_join("segments.text", "\n"), 256).alias("texts_sha256"), F.get_json_object("config", "$.chapter.book_id").alias("config_book"), F.array_join(F.array_distinct("segments.status"), ",").alias("statuses"))
 
 
 def config_manifest(spark, sf_dir):
-    job = Job("My Book!", 3, "chapter.txt", " FR ")
-    rows = [(k, str(v)) for k, v in sorted(job.to_manifest().items()) if not isinstance(v, dict)]
-    return spark.createDataFrame(rows, "name string, value string")
+    """Settings block by block, for each chapter of the conversations."""
+    job = Job("My Book!", 3, "chapter.txt", " FR ", repository=Repository("https://example.org/r.git"), root="/out")
+    plain = lambda v: "null" if v is None else str(v).lower() if isinstance(v, bool) else str(v)
+    flat = [(block, name, plain(v)) for block, inside in job.to_manifest().items() for name, v in (inside.items() if isinstance(inside, dict) else [("", inside)])]
+    return spark.createDataFrame(flat, "block string, name string, value string")
 
 
 def layout_check(spark, sf_dir):
@@ -228,8 +230,10 @@ def resume_forced(spark, sf_dir):
 
 
 def prepare_state(spark, sf_dir):
-    known = state_of_talks(spark, sf_dir).filter("index % 2 = 1")
-    done = state.merge_segments(segments_of_talks(spark, sf_dir), known, files_of_talks(spark, sf_dir))
+    """Every other conversation is known, and as it was."""
+    known = state_of_talks(spark, sf_dir).filter("chapter_number % 2 = 1")
+    hashes = talk_chapters(spark, sf_dir).select(*state.KEY, state.source_hash(F.col("text")).alias("source_text_hash"))
+    done = state.prepare(segments_of_talks(spark, sf_dir), known, files_of_talks(spark, sf_dir), hashes, hashes.filter("chapter_number % 2 = 1"))
     return _longs(done.select("chapter_number", "segment_id", "status", "attempts"))
 
 
@@ -263,27 +267,42 @@ def first_failed(spark, sf_dir):
 
 
 def resume_summary(spark, sf_dir):
-    return _longs(state.resume_summary(state_of_talks(spark, sf_dir), files_of_talks(spark, sf_dir)))
+    done = state.resume_summary(state_of_talks(spark, sf_dir), files_of_talks(spark, sf_dir))
+    return _longs(done.withColumn("open_ids", _joined(F.col("open_ids"))))
 
 
 def segment_lookup(spark, sf_dir):
-    ids = segments_of_talks(spark, sf_dir).filter("index = 2").select(*state.SEGMENT_KEY)
+    ids = state_of_talks(spark, sf_dir).select(*state.SEGMENT_KEY)
     return _longs(state.lookup(segments_of_talks(spark, sf_dir), ids).select("chapter_number", "segment_id", "text"))
 
 
-def _ramp() -> generate.RampEngine:
-    return generate.RampEngine(fail_on="?")
+class PulseEngine:
+    """An engine for queries and tests: one triangular pulse of 2,400 samples for any text but questions, if it refuses those."""
+
+    sample_rate = 24_000
+
+    def __init__(self, refuses_questions: bool = False):
+        self.refuses_questions = refuses_questions
+
+    def generate(self, text: str, **settings) -> np.ndarray:
+        if self.refuses_questions and "?" in text:
+            raise RuntimeError("a question was refused")
+        return (0.4 - np.abs(np.arange(2400) - 1200) / 3000).astype(np.float32)
+
+
+def _refusing() -> PulseEngine:
+    return PulseEngine(refuses_questions=True)
 
 
 def retry_ledger(spark, sf_dir):
     work = state_of_talks(spark, sf_dir).withColumn("language", F.lit("en"))
-    events = generate.render(work, _ramp, Generation(maximum_retries=3))
+    events = generate.render(work, _refusing, Generation(maximum_retries=3))
     return _longs(events.select("chapter_number", "segment_id", "attempt", "status", "error", F.size(F.coalesce("samples", F.array().cast("array<float>"))).alias("n_samples")))
 
 
 def event_snapshot(spark, sf_dir):
     work = state_of_talks(spark, sf_dir).withColumn("language", F.lit("en"))
-    events = generate.render(work, _ramp, Generation(maximum_retries=3)).drop("samples").withColumn("at", F.col("attempt"))
+    events = generate.render(work, _refusing, Generation(maximum_retries=3)).drop("samples").withColumn("at", F.col("attempt"))
     return _longs(state.snapshot(events).select("chapter_number", "segment_id", "attempt", "status", "duration_seconds"))
 
 
@@ -346,6 +365,22 @@ def channel_mean(spark, sf_dir):
     return vectors(spark, sf_dir).select("vec_id", F.size(mono).cast("long").alias("frames"), _joined(F.transform(mono, lambda x: F.round(x.cast("double") * 1000).cast("long"))).alias("milli"))
 
 
+def frame_shapes(spark, sf_dir):
+    """Embeddings as stereo, and cut by a sample where they then are no whole frames."""
+    odd = F.when(F.col("vec_id") % 5 == 0, F.slice("samples", 1, F.size("samples") - 1)).otherwise(F.col("samples"))
+    shaped = vectors(spark, sf_dir).select("vec_id", odd.alias("samples"), A.shape_fault(odd, F.lit(2)).alias("fault"))
+    cut = F.when(F.col("fault").isNull(), A.frames(F.col("samples"), F.lit(2)))
+    return shaped.select("vec_id", "fault", F.size(cut).cast("long").alias("frames"), F.round(cut[1][0].cast("double") * 1000).cast("long").alias("second_frame_milli"))
+
+
+def pdf_chapters(spark, sf_dir):
+    """Conversations as PDF chapters: the text of those with too few letters comes from their turns, as recognised pages."""
+    turns = pages(spark, sf_dir)
+    recognise = lambda scanned: turns.join(scanned.select(*state.KEY), [*state.KEY])
+    done, _ = ingest.extract_pdf(ingest.combine_pages(turns), recognise, least_words=12)
+    return _longs(done.select("chapter_number", "used_ocr", "text"))
+
+
 def ffmpeg_command(spark, sf_dir):
     book, number = F.col("book_id"), F.col("chapter_number")
     wavs = document_chapters(spark, sf_dir).select("book_id", "chapter_number", T.output_path("chapter", book, number).alias("source_wav"))
@@ -365,7 +400,7 @@ def wav_roundtrip(spark, sf_dir):
 
 def fake_synthesis(spark, sf_dir):
     work = state.pending(segments_of_talks(spark, sf_dir)).withColumn("language", F.lit("en"))
-    events = generate.render(work, generate.RampEngine, Generation())
+    events = generate.render(work, PulseEngine, Generation())
     return _longs(events.select("chapter_number", "segment_id", "status", F.size("samples").alias("n_samples"), "duration_seconds", A.audio_fault(F.col("samples")).alias("fault")))
 
 
@@ -378,6 +413,6 @@ QUERIES: dict[str, Query] = {
         config_manifest, layout_check, resume_state, resume_forced, prepare_state, prepare_chapters, pending_work, render_selection,
         status_summary, first_failed, resume_summary, segment_lookup, retry_ledger, event_snapshot, silence_timeline,
         chapter_duration, chapter_assembly, audio_validate, pcm_quantize, pcm_roundtrip, peak_normalize, layout_uniformity, voice_check,
-        channel_mean, ffmpeg_command, wav_roundtrip, fake_synthesis,
+        channel_mean, frame_shapes, pdf_chapters, ffmpeg_command, wav_roundtrip, fake_synthesis,
     )
 }

@@ -38,6 +38,14 @@ def decode(content: bytes) -> tuple[np.ndarray, int, int]:
         return (values.astype(np.float32) / np.float32(32767)).astype(np.float32), r.getframerate(), r.getnchannels()
 
 
+def decode_voice(content: bytes) -> tuple[np.ndarray, int, int]:
+    """(mono samples, sample rate, channels of the file): frames are read as 16-bit whatever their width, channels averaged."""
+    with wave.open(io.BytesIO(content), "rb") as r:
+        rate, channels, raw = r.getframerate(), r.getnchannels(), r.readframes(r.getnframes())
+    values = np.frombuffer(raw, "<i2").astype(np.float32) / np.float32(32767)
+    return values.reshape(-1, channels).mean(axis=1, dtype=np.float32) if channels > 1 else values, rate, channels
+
+
 @dataclass
 class _File(InputPartition):
     path: str
@@ -101,13 +109,13 @@ class WavSource(DataSource):
         return _Writer(self.options)
 
 
-def read_wav_files(spark, path: str):
-    """WAV files of any store that Spark reads, through binaryFile."""
+def read_wav_files(spark, path: str, decoder=decode):
+    """WAV files of any store that Spark reads, through binaryFile. With decode_voice, voices: mono samples, the file's channels."""
     import pandas as pd
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(p, *(lambda s, r, c: (r, c, s))(*decode(b))) for p, b in zip(frame["path"], frame["content"], strict=True)]
+            rows = [(p, *(lambda s, r, c: (r, c, s))(*decoder(b))) for p, b in zip(frame["path"], frame["content"], strict=True)]
             yield pd.DataFrame(rows, columns=["path", "sample_rate", "channels", "samples"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").option("recursiveFileLookup", "true").load(path)

@@ -102,3 +102,28 @@ def test_stream_takes_each_file_once(spark, tmp_path):
         spark.createDataFrame([("b", number, "en", "A b. C d.")], CHAPTER_SCHEMA).write.mode("append").parquet(source)
         segment_stream(spark, source, target, point).awaitTermination()
     assert sorted(r.chapter_number for r in spark.read.parquet(target).collect()) == [1, 2]
+
+
+def test_voices_are_mono_and_keep_their_channels(spark, tmp_path):
+    (tmp_path / "v.wav").write_bytes(wav.encode(np.array([0.5, -0.5, 0.2, 0.4], np.float32), 8000, 2))
+    row = wav.read_wav_files(spark, str(tmp_path), wav.decode_voice).first()
+    assert (row.sample_rate, row.channels) == (8000, 2) and np.allclose(row.samples, [0.0, 0.3], atol=1e-4)
+
+
+def test_samples_that_are_no_frames_are_refused(spark):
+    df = spark.createDataFrame([([0.1, 0.2, 0.3], 2), ([0.1, 0.2], 2), ([], 1), ([0.1], 0)], "samples array<float>, channels int")
+    assert [r[0] for r in df.select(A.shape_fault(F.col("samples"), F.col("channels"))).collect()] == ["length", None, None, "channels"]
+    assert [len(r[0]) for r in df.filter("channels = 1 OR size(samples) = 2").select(A.frames(F.col("samples"), F.col("channels"))).collect()] == [1, 0]
+    with pytest.raises(Exception, match="samples are no frames: length"):
+        df.limit(1).select(A.frames(F.col("samples"), F.col("channels"))).collect()
+
+
+def test_pdf_text_or_recognised_pages(spark):
+    direct = spark.createDataFrame([("b", 1, "x" * 800), ("b", 2, "short"), ("b", 3, None)], "book_id string, chapter_number int, text string")
+    scans = spark.createDataFrame([("b", 2, 1, "few"), ("b", 2, 2, "w " * 30)], "book_id string, chapter_number int, page_number int, text string")
+    asked = []
+    recognise = lambda rows: asked.append(sorted(r.chapter_number for r in rows.collect())) or scans
+    done, judged = ingest.extract_pdf(direct, recognise)
+    assert {r.chapter_number: (r.text, r.used_ocr) for r in done.collect()} == {1: ("x" * 800, False), 2: (("w " * 30).strip(), True), 3: ("", True)}
+    assert asked == [[2, 3]] and sorted(r.kept for r in judged.collect()) == [False, True]
+    assert all(r.used_ocr for r in ingest.extract_pdf(direct, recognise, forced=True)[0].collect())

@@ -1,10 +1,12 @@
+import json
 from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
 
-from folioforge.operators import generate, state
-from folioforge.plans.config import Chunking, Export, Generation, Job, Silence, identifier
+from folioforge.operators import generate, segment, state
+from folioforge.plans.config import Chunking, Export, Generation, Job, Silence, identifier, make_layout, resolve_path
+from folioforge.queries import PulseEngine
 
 SEGMENTS = "book_id string, chapter_number int, segment_id string, index int, paragraph_index int, text string, char_count int, starts_paragraph boolean, ends_paragraph boolean"
 
@@ -76,12 +78,18 @@ def test_selection_faults(spark):
     assert state.select_for_render(rows, files, allow_partial=False).first().fault == "incomplete"
 
 
-def test_manifest_round_trip_keeps_nulls(spark):
+def test_manifest_round_trip_keeps_nulls(spark, tmp_path):
     chapters = spark.createDataFrame([("b", 1, "en", "f", "A b."), ("b", 2, "en", "f", "")], "book_id string, chapter_number int, language string, chapter_source string, text string")
-    segments = spark.createDataFrame([("b", 1, "s", 1, 1, "A b.", 4, True, True)], SEGMENTS)
-    built = state.build_manifest(chapters, segments, F.lit("2024-01-01").cast("timestamp"))
+    built = state.build_manifest(segment.segment_arrays(chapters), {"chapter": {"book_id": "b"}}, F.lit("2024-01-01").cast("timestamp"))
+    assert "Exchange" not in built._jdf.queryExecution().executedPlan().toString()
     text = state.to_json(built).filter("chapter_number = 1").first().manifest
     assert '"audio_path":null' in text
+    state.save_manifests(built, str(tmp_path / "m"), F.lit("2024-02-02").cast("timestamp"))
+    loaded = state.load_manifests(spark, str(tmp_path / "m"), built.schema)
+    assert {(r.created_at.month, r.updated_at.month) for r in loaded.collect()} == {(1, 2)}
+    assert sorted(map(str, loaded.drop("updated_at").collect())) == sorted(map(str, built.drop("updated_at").collect()))
+    (tmp_path / "one.json").write_text(json.dumps(json.loads(text), indent=2))
+    assert str(state.load_manifests(spark, str(tmp_path / "one.json"), built.schema, documents=True).first()) == str(built.filter("chapter_number = 1").first())
     back = state.from_json(state.to_json(built), built.schema)
     assert sorted(map(str, back.collect())) == sorted(map(str, built.collect()))
 
@@ -89,7 +97,7 @@ def test_manifest_round_trip_keeps_nulls(spark):
 def test_attempts_are_capped_over_a_segments_life(spark):
     rows = make_state(spark, [("s1", "pending", None, 0, None), ("s2", "failed", None, 1, None), ("s3", "failed", None, 3, None)])
     work = rows.withColumn("language", F.lit("en")).withColumn("text", F.concat("text", F.lit("?")))
-    events = generate.render(work, partial(generate.RampEngine, "?"), Generation(maximum_retries=3)).collect()
+    events = generate.render(work, partial(PulseEngine, True), Generation(maximum_retries=3)).collect()
     assert sorted((e.segment_id, e.attempt, e.status) for e in events) == [("s1", 1, "failed"), ("s1", 2, "failed"), ("s1", 3, "failed"), ("s2", 2, "failed"), ("s2", 3, "failed")]
 
 
@@ -112,3 +120,15 @@ def test_attempts_are_capped_over_a_segments_life(spark):
 def test_bad_settings_are_refused(make):
     with pytest.raises((ValueError, RuntimeError)):
         make()
+
+
+def test_identifiers_and_paths(tmp_path):
+    assert [identifier(x) for x in (" --My Book!? ", "a__b", "É tude 2", "x - y")] == ["my-book", "a__b", "tude-2", "x---y"]
+    made = make_layout(str(tmp_path / "out"))
+    assert len(made) == 7 and all((tmp_path / "out" / d).is_dir() for d in ("books", "voices", "segments", "chapters", "manifests", "logs"))
+    (tmp_path / "repo").mkdir()
+    (tmp_path / "repo" / "a.txt").write_text("")
+    roots = str(tmp_path / "repo"), str(tmp_path / "out")
+    assert resolve_path("a.txt", *roots) == str(tmp_path / "repo" / "a.txt")
+    assert resolve_path("b.txt", *roots) == str(tmp_path / "out" / "b.txt")
+    assert resolve_path("/x/a.txt", *roots) == "/x/a.txt"

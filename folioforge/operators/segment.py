@@ -12,12 +12,13 @@ KEY = ["book_id", "chapter_number"]
 
 
 def explode_paragraphs(chapters: DataFrame) -> DataFrame:
-    return chapters.select(*KEY, F.posexplode(T.paragraphs(F.col("text"))).alias("paragraph_index", "text")).withColumn("paragraph_index", F.col("paragraph_index") + 1)
+    placed = chapters.select(*KEY, F.posexplode_outer(T.paragraphs(F.col("text"))).alias("paragraph_index", "text")).filter("text IS NOT NULL")
+    return placed.withColumn("paragraph_index", F.col("paragraph_index") + 1)
 
 
 def explode_sentences(chapters: DataFrame) -> DataFrame:
     pars = explode_paragraphs(chapters)
-    return pars.select(*KEY, "paragraph_index", F.posexplode(T.sentences(F.col("text"))).alias("sentence_index", "text")).withColumn("sentence_index", F.col("sentence_index") + 1)
+    return pars.select(*KEY, "paragraph_index", F.posexplode_outer(T.sentences(F.col("text"))).alias("sentence_index", "text")).withColumn("sentence_index", F.col("sentence_index") + 1)
 
 
 def segment_arrays(chapters: DataFrame, chunking: Chunking | None = None) -> DataFrame:
@@ -44,7 +45,9 @@ def segment_arrays(chapters: DataFrame, chunking: Chunking | None = None) -> Dat
 
 def segment_chapters(chapters: DataFrame, chunking: Chunking | None = None) -> DataFrame:
     """One row a segment: KEY and the fields of segment_arrays. Chapters without segments give none."""
-    return segment_arrays(chapters, chunking).select(*KEY, F.explode("segments").alias("s")).select(*KEY, "s.*")
+    # Outer, as for the inner one Spark filters by the array's size before, and makes the array twice.
+    placed = segment_arrays(chapters, chunking).select(*KEY, F.explode_outer("segments").alias("s")).filter("s IS NOT NULL")
+    return placed.select(*KEY, "s.*")
 
 
 def check_languages(chapters: DataFrame, strict: bool = True, column: str = "language") -> DataFrame:

@@ -108,15 +108,15 @@ def paragraphs(spark, sf_dir):
 
 
 def sentences(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", F.posexplode(T.sentences(T.strip(F.col("text")))).alias("place", "sentence")).select("doc_id", F.col("place").cast("long").alias("place"), "sentence")
+    return documents(spark, sf_dir).select("doc_id", F.posexplode_outer(T.sentences(T.strip(F.col("text")))).alias("place", "sentence")).filter("place IS NOT NULL").select("doc_id", F.col("place").cast("long").alias("place"), "sentence")
 
 
 def dense_split(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", F.posexplode(T.split_dense(F.col("text"), DENSE)).alias("place", "part")).select("doc_id", F.col("place").cast("long").alias("place"), "part")
+    return documents(spark, sf_dir).select("doc_id", F.posexplode_outer(T.split_dense(F.col("text"), DENSE)).alias("place", "part")).filter("place IS NOT NULL").select("doc_id", F.col("place").cast("long").alias("place"), "part")
 
 
 def oversized_split(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", F.posexplode(T.split_oversized(T.strip(F.col("text")), SHORT)).alias("place", "part")).select("doc_id", F.col("place").cast("long").alias("place"), "part")
+    return documents(spark, sf_dir).select("doc_id", F.posexplode_outer(T.split_oversized(T.strip(F.col("text")), SHORT)).alias("place", "part")).filter("place IS NOT NULL").select("doc_id", F.col("place").cast("long").alias("place"), "part")
 
 
 def chunk_documents(spark, sf_dir):

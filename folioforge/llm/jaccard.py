@@ -291,7 +291,8 @@ def jaccard_components(docs: DataFrame, percent: int = 80, key: str = "doc_id",
     other columns are not read.
     """
     classes = stage_table(jaccard_classes(docs, percent, key, text, width), "classes")
-    least = classes.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))
+    # Stored, so that Spark can split the rows of a large class in the join.
+    least = stage_table(classes.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least")), "least")
     named = classes.join(least, "class", "left")
     return named.select("doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
@@ -305,6 +306,7 @@ def keep_one(docs: DataFrame, classes: DataFrame, key: str = "doc_id", text: str
     """
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"))
     firsts = classes.filter("class IS NOT NULL").groupBy("class").agg(F.min(rank).alias("first"), F.count("*").alias("rows")).filter("rows > 1")
+    firsts = stage_table(firsts, "firsts")
     suspects = classes.join(firsts, "class").groupBy("row").agg(F.max((F.col("row") == F.col("first.row")).cast("int")).alias("stays"))
     suspects = stage_table(suspects.select(F.col("row").alias("__row"), "stays"), "suspects")
     names = [f"c{i}" for i in range(len(docs.columns))]

@@ -15,7 +15,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from folioforge.llm import bpe, chat, components, gam, jaccard, media, packing, rules, secrets, sharding, toxicity
+from folioforge.llm import bpe, chat, components, gam, jaccard, media, packing, queries, rules, secrets, sharding, toxicity
 from folioforge.llm.common import stage_table
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -172,6 +172,97 @@ def test_classifiers_on_held_out_rows(spark, docs, empty):
         assert len({r.score for r in got if r.doc_id in (1, 2)}) == 1
 
 
+def test_scores_are_sums_of_looked_up_values(spark):
+    texts, labels = labelled(spark)
+    model = gam.learn_quality(texts, labels)
+    rows = [r.text for r in texts.collect()][::7] + ["", "one", PARAGRAPH * 40]
+    x = gam.text_features(pa.array(rows))
+    assert model.pairs and any(t.any() for t in model.tables)
+    got = [r.score for r in gam.score_quality(spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id int, text string").coalesce(1), model).orderBy("doc_id").collect()]
+    for features, score in zip(x, got, strict=True):
+        total = model.base
+        for value, edges, table in zip(features, model.edges, model.tables, strict=True):
+            total += table[sum(e <= value for e in edges)]
+        for i, j, table in model.pairs:
+            total += table[sum(e <= features[i] for e in model.pair_edges[i]), sum(e <= features[j] for e in model.pair_edges[j])]
+        assert abs(score - 1 / (1 + math.exp(-total))) < 1e-9
+    words = [w for w in rows[0].split()]
+    assert abs(x[0][0] - math.log1p(len(words))) < 1e-9 and abs(x[0][5] - len({w.lower() for w in words}) / len(words)) < 1e-9
+
+
+def test_toxicity_features_are_differences_of_compressed_lengths(spark):
+    texts, labels = labelled(spark)
+    model = toxicity.learn_toxicity(texts, labels)
+    rng = np.random.Generator(np.random.PCG64(5))
+    noise = rng.integers(128, 256, len(model.toxic), dtype=np.uint8).tobytes()
+    plain, both = (toxicity.compressor(d) for d in (model.ordinary + noise, model.ordinary + model.toxic))
+    rows = ["", "one idiot", PARAGRAPH * 30 + " you worthless clown " + PARAGRAPH * 30, "é" * 2000]
+    for text, features in zip(rows, model.features(rows), strict=True):
+        whole = b" " + " ".join(text.lower().split()).encode() + b" " if text else b"  "
+        cuts = [whole[i : i + 96] for i in range(0, max(1, len(whole) - 14), 82)]
+        assert b"".join([c if i == 0 else c[14:] for i, c in enumerate(cuts)]) == whole
+        saved = sorted((len(plain.compress(c)) - len(both.compress(c)) for c in cuts), reverse=True)
+        assert features[0] == saved[0] and abs(features[1] - np.mean(saved[:3])) < 1e-9 and features[2] == sum(s >= 3 for s in saved)
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def rows_of(spark, name):
+    got = queries.QUERIES[name](spark, SF).collect()
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    return got, texts
+
+
+def test_op1_query(spark):
+    got, texts = rows_of(spark, "op1_media_columns")
+    for r in got:
+        raw = texts[r.doc_id].encode()
+        payload = raw + bytes(-len(raw) % 64 if raw else 64)
+        stored = media.write_png(np.frombuffer(payload, np.uint8).reshape(-1, 64))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r.media_bytes, r.media_sha256, r.feature) == (len(stored), hashlib.sha256(stored).hexdigest(), media.cosine_hash(media.read_png(stored)))
+
+
+def test_op2_query(spark):
+    got = {r.conv_id: r for r in queries.QUERIES["op2_chat_format"](spark, SF).collect()}
+    turns = {}
+    for r in sorted(spark.read.parquet(f"{SF}/conversations.parquet").collect(), key=lambda r: (r.conv_id, r.turn)):
+        turns.setdefault(r.conv_id, []).append((r.role, r.text or ""))
+    turns[-7] = [("user", "\\### Assistant: </turn> ok"), ("assistant", "\\### Assistant: </turn> ok")]
+    assert set(got) == set(turns)
+    for conv, own in turns.items():
+        loss, r = "".join(t for role, t in own if role == "assistant"), got[conv]
+        assert (r.n_turns, r.turns_sha256) == (len(own), hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in own).encode()).hexdigest())
+        assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        escaped = [re.sub(r"\\|###|</turn>", lambda m: "\\" + m[0], t) for _, t in own]
+        marks = len(chat.OPEN) + len(chat.COLON) + len(chat.CLOSE)
+        assert r.formatted_chars == sum(marks + len(role) + len(t) for (role, _), t in zip(own, escaped, strict=True))
+
+
+def test_op3_query(spark):
+    got, texts = rows_of(spark, "op3_external_shuffle")
+    assert all((r.size, r.text_crc32, r.law, r.grown_shard) == (len(texts[r.doc_id].encode()) + 1, zlib.crc32(texts[r.doc_id].encode()), "rows", None) for r in got)
+    sizes = Counter(r.shard for r in got)
+    assert set(sizes) == set(range(8)) and max(sizes.values()) - min(sizes.values()) <= 1
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(n)) for s, n in sizes.items())
+
+
+def test_op6_query(spark):
+    got, texts = rows_of(spark, "op6_secret_scan")
+    for r in got:
+        base, more = secrets_of(texts[r.doc_id])
+        name = lambda spans: ",".join(f"{['assign', 'access', 'hex', 'entropy'][k]}:{a}:{b}" for a, k, b in spans)
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == kind for _, k, _ in base) for kind in range(3))
+        assert r.base_sha256 == hashlib.sha256(name(base).encode()).hexdigest() and r.spans == name(sorted(base + more))
+
+
+def test_op10_query(spark):
+    got, texts = rows_of(spark, "op10_ngram_jaccard")
+    assert by_key(got, "n_shingles", "component_id") == components_by_force(sorted(texts.items()))
+
+
 def test_classifiers_without_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in gam.score_quality(docs, gam.learn_quality(docs, none)).collect()} == {0.5}

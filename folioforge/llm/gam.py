@@ -13,6 +13,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -209,15 +210,23 @@ def one_text(docs: DataFrame, sample: DataFrame, label: str, key: str = "doc_id"
 
 
 def _map_texts(docs: DataFrame, columns: list[str], text: str, ddl: str, made) -> DataFrame:
-    """columns of docs and what made(texts) returns as Arrow arrays."""
+    """columns of docs and what made(texts) returns as Arrow arrays.
+
+    text names a column, or a field of a struct among columns as in row.text; such a text is not sent twice.
+    """
+    outer, _, inner = text.partition(".")
+    inside = bool(inner) and outer in columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (s for b in batches for s in blocks(b, len(columns), BLOCK)):
-            arrays, names = made(batch.column(len(columns)))
-            yield pa.record_batch([*batch.columns[:-1], *arrays], names=[*columns, *names])
+        for batch in batches:
+            texts = pc.fill_null(pc.struct_field(batch.column(columns.index(outer)), inner), "") if inside else batch.column(len(columns))
+            for part in blocks(pa.record_batch([*batch.columns[: len(columns)], texts], names=[*columns, "__text"]), len(columns), BLOCK):
+                arrays, names = made(part.column(len(columns)))
+                yield pa.record_batch([*part.columns[:-1], *arrays], names=[*columns, *names])
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return docs.select(*columns, text_of(text).alias("__text")).mapInArrow(tidied(run), f"{fields}, {ddl}")
+    sent = docs.select(*columns) if inside else docs.select(*columns, text_of(text).alias("__text"))
+    return sent.mapInArrow(tidied(run), f"{fields}, {ddl}")
 
 
 def learn_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 4, held: int = 2, rows: int = TRAINING_ROWS) -> AdditiveModel:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -51,6 +52,7 @@ def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
         try:
             yield from run(batches)
         finally:
+            gc.collect()
             pa.default_memory_pool().release_unused()
             if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
                 trim(0)

@@ -31,9 +31,9 @@ from .common import documents, spread, stage_table, text_of
 from .kernel import blocks, tidied, utf8
 
 CAPACITY = 2048
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 #: Words without end marks whose ids a worker keeps at least.
-MEMO_STEMS = 80_000
+MEMO_STEMS = 60_000
 #: Marks at a word's end that are symbols to the tokenizer, and so never join a letter before them.
 END_MARKS = ".,!?;:%&*$#|"
 #: Stands between words that are encoded together; no word holds it.
@@ -148,6 +148,9 @@ class WordIds:
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         return np.frombuffer(b"".join(ids), np.uint32), np.cumsum(sizes) - sizes, sizes
 
+    def forget(self) -> None:
+        self.memo, self.former = {}, {}
+
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets)."""
         parts = pc.ascii_split_whitespace(texts)
@@ -187,6 +190,8 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = word_ids(path)
+        # Workers outlive their tasks: what one learns it does not hold on to while others run.
+        coder.forget()
         for batch in (s for b in batches for s in blocks(b, 1, BLOCK)):
             ids, offsets = coder(batch.column(1))
             rows, piece, start, length, crc, kept = [], [], [], [], [], []
@@ -204,6 +209,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
             made = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32())]
             made += [pa.array(c, pa.int64()) for c in (start, length, crc)] + [pa.array(kept, pa.binary())] * keep_ids
             yield pa.record_batch(made, names=names)
+        coder.forget()
 
     kind = docs.schema[key].dataType.simpleString()
     ddl = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids

@@ -37,7 +37,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     any other. Without labels all scores are 0.5, and no document stays.
     """
     model = learn_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = score_quality(packed(spread(docs)).select("row", "row.text"), model, ["row"])
+    scored = score_quality(packed(spread(docs)), model, ["row"], "row.text")
     return scored.filter(F.col("score") >= LEAST_SCORE).select("row.*")
 
 

@@ -4,17 +4,20 @@ Every match of the split pattern is encoded by itself. Bytes are mapped to Latin
 which works on text, sees one character a byte. A sequence of tokens is what merging by rank would give exactly if each
 two adjacent tokens are what merging would give for their joined bytes; so the encoder takes the longest token at each
 place, falls back to shorter ones while the pair with the token before is not compatible, and marks ends from which no
-sequence goes on, so that none is tried twice.
+sequence goes on, so that none is tried twice. The automaton gives the longest tokens of a whole run of places at once,
+each where the one before ends; it is asked again only where a shorter token has led to a place outside these runs.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import regex
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import documents, spread, text_of
 from .kernel import blocks, tidied
 
-#: Encoded pieces kept per worker; beyond it the memo starts anew.
+#: Encoded pieces kept per worker at most; beyond it those go that were longest not asked for.
 MEMO_PIECES = 200_000
 #: Pairs of adjacent tokens whose compatibility a worker keeps at most; beyond it the memo starts anew.
 MEMO_PAIRS = 400_000
@@ -32,6 +35,25 @@ MEMO_PAIRS = 400_000
 BLOCK = 1 << 20
 
 
+class PieceMemo(dict):
+    """Packed ids of pieces: the half that was asked for last, with the half before it aside, from which pieces come back."""
+
+    def __init__(self, made: Callable[[str], bytes]):
+        self.made = made
+        self.before: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        packed = self.before.pop(piece, None)
+        if packed is None:
+            packed = self.made(piece)
+        if len(piece) <= 64:
+            if len(self) >= MEMO_PIECES // 2:
+                self.before = dict(self)
+                self.clear()
+            self[piece] = packed
+        return packed
+
+
 class BytePairCodec:
     """ranks: token bytes to id, where a smaller id merges first. All single bytes must be tokens."""
 
@@ -42,12 +64,14 @@ class BytePairCodec:
         self.no_limit = max(self.bytes_of) + 1
         self.automaton = ahocorasick.Automaton()
         for token, i in ranks.items():
-            self.automaton.add_word(token.decode("latin-1"), (i, len(token)))
+            self.automaton.add_word(token.decode("latin-1"), i)
         self.automaton.make_automaton()
+        self.length = {i: len(b) for b, i in ranks.items()}
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.shorter: dict[int, int] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.memo: dict[str, bytes] = {}
+        self.fits: dict[int, bool] = {}
+        self.memo = PieceMemo(self._packed_piece)
+        self._tokens: pa.Array | None = None
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> BytePairCodec:
@@ -84,7 +108,7 @@ class BytePairCodec:
                 return True
 
     def compatible(self, left: int, right: int) -> bool:
-        key = (left, right)
+        key = left * self.no_limit + right
         known = self.fits.get(key)
         if known is None:
             if len(self.fits) >= MEMO_PAIRS:
@@ -99,49 +123,80 @@ class BytePairCodec:
             self.shorter[token] = next((self.ranks[whole[:n]] for n in range(len(whole) - 1, 0, -1) if whole[:n] in self.ranks), -1)
         return self.shorter[token]
 
+    def _longest(self, text: str, at: int, longest: list[int]) -> int:
+        """The longest token at a place. Those at the places where one after the other ends are noted, up to a noted one."""
+        place = at
+        for end, token in self.automaton.iter_long(text, at):
+            if longest[place] != -1:
+                break
+            longest[place] = token
+            place = end + 1
+        return longest[at]
+
     def encode_piece(self, piece: bytes) -> list[int]:
         if piece in self.ranks:
             return [self.ranks[piece]]
-        longest = [(-1, 0)] * len(piece)
-        for end, (token, length) in self.automaton.iter(piece.decode("latin-1")):
-            if length > longest[end - length + 1][1]:
-                longest[end - length + 1] = (token, length)
+        text, size = piece.decode("latin-1"), len(piece)
+        length, shorter, fits, limit = self.length, self.shorter.get, self.fits.get, self.no_limit
+        longest = [-1] * size
         out: list[int] = []
-        dead = bytearray(len(piece) + 1)
-        at, token = 0, longest[0][0]
-        while at < len(piece):
+        dead = bytearray(size + 1)
+        at, last, token = 0, -1, self._longest(text, 0, longest) if size else -1
+        while at < size:
             while token != -1:
-                end = at + len(self.bytes_of[token])
-                if not dead[end] and (not out or self.compatible(out[-1], token)):
-                    break
-                token = self._next_shorter(token)
+                end = at + length[token]
+                if not dead[end]:
+                    known = True if last == -1 else fits(last * limit + token)
+                    if self.compatible(last, token) if known is None else known:
+                        break
+                known = shorter(token)
+                token = self._next_shorter(token) if known is None else known
             if token != -1:
                 out.append(token)
-                at = end
-                token = longest[at][0] if at < len(piece) else -1
+                at, last = end, token
+                if at < size:
+                    token = longest[at]
+                    if token == -1:
+                        token = self._longest(text, at, longest)
             else:
                 dead[at] = 1
                 token = out.pop()
-                at -= len(self.bytes_of[token])
+                at -= length[token]
+                last = out[-1] if out else -1
                 token = self._next_shorter(token)
         return out
 
-    def __missing(self, piece: str) -> bytes:
-        if len(self.memo) >= MEMO_PIECES:
-            self.memo.clear()
+    def _packed_piece(self, piece: str) -> bytes:
         ids = self.encode_piece(piece.encode())
-        packed = b"".join(i.to_bytes(4, "little") for i in ids)
-        if len(piece) <= 64:
-            self.memo[piece] = packed
-        return packed
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
-        memo, missing = self.memo.get, self.__missing
-        return b"".join([memo(piece) or missing(piece) for piece in self.pattern.findall(text)])
+        return b"".join(map(self.memo.__getitem__, self.pattern.findall(text)))
+
+    def decode_all(self, packed: pa.Array) -> pa.Array:
+        """The bytes of each row's ids, from one look-up of the whole array in a table of all tokens. Null gives null."""
+        if self._tokens is None:
+            self._tokens = pa.array([self.bytes_of.get(i) for i in range(self.no_limit)], pa.binary())
+        parts = packed.drop_null()
+        _, offsets, data = parts.buffers()
+        ends = np.frombuffer(offsets, np.int32)[parts.offset : parts.offset + len(parts) + 1] if len(parts) else np.zeros(1, np.int32)
+        if ((ends - ends[0]) % 4).any():
+            raise ValueError("ids are not whole 32-bit integers")
+        ids = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view("<u4") if ends[-1] > ends[0] else np.zeros(0, np.uint32)
+        found = self._tokens.take(pa.array(ids, pa.uint32()))
+        if found.null_count:
+            raise ValueError("ids that no token has")
+        _, starts, joined = found.buffers()
+        starts = np.frombuffer(starts, np.int32)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int32)
+        whole = pa.Array.from_buffers(pa.binary(), len(parts), [None, pa.py_buffer(starts[(ends - ends[0]) // 4].astype(np.int32)), joined or pa.py_buffer(b"")])
+        if len(parts) == len(packed):
+            return whole
+        valid = packed.is_valid().to_numpy(zero_copy_only=False)
+        return whole.take(pa.array(np.cumsum(valid) - 1, mask=~valid))
 
     def decode(self, packed: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, memoryview(packed).cast("I")))
+        return self.decode_all(pa.array([packed], pa.binary()))[0].as_py()
 
 
 @cache
@@ -173,8 +228,7 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str = public_tokeni
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(path, pattern)
         for batch in (s for b in batches for s in blocks(b, 1, BLOCK)):
-            out = [None if x is None else coder.decode(x) for x in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=[key, "ids", "decoded"])
+            yield pa.record_batch([batch.column(0), batch.column(1), coder.decode_all(batch.column(1))], names=[key, "ids", "decoded"])
 
     return encoded.select(F.col(key), "ids").mapInArrow(tidied(run), schema)
 

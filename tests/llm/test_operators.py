@@ -427,6 +427,23 @@ def test_bpe_equals_the_library(docs, empty):
         assert coder.encode_piece(text.encode()) == bpe.reference_ids(text.encode(), coder.ranks)
 
 
+def test_bpe_keeps_what_is_asked_for_and_decodes_arrays(monkeypatch):
+    coder = bpe.BytePairCodec.from_file(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    monkeypatch.setattr(bpe, "MEMO_PIECES", 8)
+    asked, encode_piece = [], coder.encode_piece
+    monkeypatch.setattr(coder, "encode_piece", lambda piece: asked.append(piece) or encode_piece(piece))
+    texts = [f"often rare{'xyz'[i % 3]}{i}q" for i in range(40)]
+    packed = [coder.encode(t) for t in texts]
+    assert asked.count(b"often") == 1 and len(coder.memo) + len(coder.memo.before) <= 8
+    ids = pa.array([None, *packed, b"", None], pa.binary())
+    whole = [None, *(t.encode() for t in texts), b"", None]
+    for start, length in ((0, 43), (1, 7), (5, 38), (41, 2), (42, 1), (41, 1), (3, 0)):
+        assert coder.decode_all(ids.slice(start, length)).to_pylist() == whole[start : start + length]
+    for wrong in (b"abc", b"\xff\xff\xff\x7f"):
+        with pytest.raises(ValueError if len(wrong) % 4 else IndexError):
+            coder.decode(wrong)
+
+
 def shingles_of(text):
     words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()

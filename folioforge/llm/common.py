@@ -14,6 +14,9 @@ from pyspark.sql import types as T
 #: White space between words: space, and tab to carriage return. Fixed by the operators' contracts.
 SPACE = r"[ \t-\r]"
 
+#: Bytes of files that spread deals to a task on average, and the partitions it makes at most.
+SPREAD_BYTES, SPREAD_MOST = 16 << 20, 10_000
+
 _own_dir: list[str] = []
 _staged: list[tuple[SparkSession, str]] = []
 
@@ -65,9 +68,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal rows over all cores where the input has fewer files than cores; larger inputs stay as scanned."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    """Deal rows over all cores, SPREAD_BYTES a task, where the input has fewer files than cores; inputs of more files stay as scanned.
+
+    A few large files may be of one row group each, which a scan cannot split.
+    """
+    cores, files = df.sparkSession.sparkContext.defaultParallelism, len(df.inputFiles())
+    if files >= cores:
+        return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) if files else 0
+    return df.repartition(max(cores, min(SPREAD_MOST, -(-size // SPREAD_BYTES))))
 
 
 def text_of(column: str = "text") -> Column:

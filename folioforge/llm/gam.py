@@ -16,9 +16,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import documents, spread, text_of
-from .kernel import blocks, shingle_hashes, tidied, utf8, word_hashes, words
+from .common import documents, extend, spread, text_of
+from .kernel import STEP, blocks, shingle_hashes, tidied, utf8, word_hashes, words
 
 BLOCK = 1 << 20
 #: Labelled rows that a model learns from at most: those of the least hash of their key.
@@ -50,16 +51,24 @@ _CLASSES = {
 }
 
 
+def _counts(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """How many bytes of each row are in a class. Sums are held for STEP bytes at once, however long a text is."""
+    at, total = np.zeros(len(offsets), np.int64), 0
+    for lo in range(0, len(data), STEP):
+        sums = np.cumsum(table[data[lo : lo + STEP]], dtype=np.int64)
+        inside = (offsets > lo) & (offsets <= lo + len(sums))
+        at[inside] = total + sums[offsets[inside] - lo - 1]
+        total += int(sums[-1])
+    return np.diff(at)
+
+
 def text_features(texts: pa.Array) -> np.ndarray:
     """FEATURES of each text, one row a text; 0 where a share has no whole."""
     data, offsets = utf8(texts)
     starts, ends, first = words(data, offsets)
     hashes = word_hashes(data, starts, ends)
     windows = shingle_hashes(hashes)
-    count = {}
-    for name, table in _CLASSES.items():
-        sums = np.concatenate([[0], np.cumsum(table[data], dtype=np.int64)])
-        count[name] = sums[offsets[1:]] - sums[offsets[:-1]]
+    count = {name: _counts(data, offsets, table) for name, table in _CLASSES.items()}
     n_bytes, n_words = np.diff(offsets), np.diff(first)
     width = np.concatenate([[0], np.cumsum(ends - starts)])
     same = np.concatenate([[0], np.cumsum(np.append(hashes[1:] == hashes[:-1], False))]) if len(hashes) else np.zeros(1, np.int64)
@@ -224,9 +233,10 @@ def _map_texts(docs: DataFrame, columns: list[str], text: str, ddl: str, made) -
                 arrays, names = made(part.column(len(columns)))
                 yield pa.record_batch([*part.columns[:-1], *arrays], names=[*columns, *names])
 
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
+    # As a schema: in DDL, names of fields inside a struct would have to be plain words.
+    kept = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in columns])
     sent = docs.select(*columns) if inside else docs.select(*columns, text_of(text).alias("__text"))
-    return sent.mapInArrow(tidied(run), f"{fields}, {ddl}")
+    return sent.mapInArrow(tidied(run), extend(kept, ddl))
 
 
 def learn_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 4, held: int = 2, rows: int = TRAINING_ROWS) -> AdditiveModel:

@@ -1,10 +1,14 @@
 """The pipeline's stages against brute force on a small folder."""
 
+import tracemalloc
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
+from folioforge.llm import common, gam, kernel
 from folioforge.llm.common import stage_table
 from test_operators import PARAGRAPH, components_by_force, labelled, secrets_of
 
@@ -48,6 +52,38 @@ def test_stages(spark, folder):
     assert 2 not in before and 4 not in before
 
 
+def test_classifier_carries_odd_names_and_types(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(20)
+    odd = {"my col": F.lit(1), "a-b": F.lit("x"), "x:y": F.lit(2.5), "d.e": F.lit(1), "<z>": F.lit(3), "st": F.struct(F.lit(1).alias("in ner")), "ar": F.array(F.lit(1))}
+    docs = docs.select("*", *(c.alias(n) for n, c in odd.items()))
+    before = {r.doc_id: r for r in docs.collect()}
+    kept = corpus_pipeline.quality_classifier(spark, docs, folder)
+    assert kept.columns == docs.columns and all(before[r.doc_id] == r for r in kept.collect())
+
+
+def test_few_large_files_are_dealt_by_size(spark, folder, monkeypatch):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").repartition(1)
+    one = stage_table(docs, "one")
+    cores = spark.sparkContext.defaultParallelism
+    assert len(one.inputFiles()) == 1 and common.spread(one).rdd.getNumPartitions() == cores
+    monkeypatch.setattr(common, "SPREAD_BYTES", 1 << 10, raising=False)
+    dealt = common.spread(one)
+    assert dealt.rdd.getNumPartitions() > cores and dealt.count() == docs.count()
+    assert common.spread(spark.createDataFrame([(1, "a")], "doc_id long, text string")).rdd.getNumPartitions() == cores
+
+
+def test_class_counts_of_long_texts_use_little_memory():
+    texts = pa.array(["a" * 10 + "!#", None, "", "x! " * 5_000_000, "Q1."])
+    data, offsets = kernel.utf8(texts)
+    for name, table in gam._CLASSES.items():
+        tracemalloc.start()
+        got = gam._counts(data, offsets, table)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert got.tolist() == [int(table[data[a:b]].sum()) for a, b in zip(offsets[:-1], offsets[1:])], name
+        assert peak < 2 * len(data)
+
+
 def test_run_is_registered(spark, folder):
     assert entry.queries()["pipeline"](spark, folder).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
 

@@ -17,6 +17,9 @@ SPACE = r"[ \t-\r]"
 #: Bytes of files that spread deals to a task on average, and the partitions it makes at most.
 SPREAD_BYTES, SPREAD_MOST = 16 << 20, 10_000
 
+#: Bytes of a row group of staged tables: each task that writes or reads one holds a whole group in the JVM's heap.
+GROUP_BYTES = 16 << 20
+
 _own_dir: list[str] = []
 _staged: list[tuple[SparkSession, str]] = []
 
@@ -37,8 +40,8 @@ def stage_table(df: DataFrame, label: str, partition_by: list[str] | None = None
     """Write df as Parquet to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
+    writer = df.write.option("parquet.block.size", GROUP_BYTES)
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     _staged.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

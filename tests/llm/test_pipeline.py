@@ -3,6 +3,7 @@
 import tracemalloc
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,6 +73,19 @@ def test_few_large_files_are_dealt_by_size(spark, folder, monkeypatch):
     assert common.spread(spark.createDataFrame([(1, "a")], "doc_id long, text string")).rdd.getNumPartitions() == cores
 
 
+def test_staged_tables_are_written_in_small_row_groups(spark, monkeypatch):
+    monkeypatch.setattr(common, "GROUP_BYTES", 1 << 20, raising=False)
+    # 8 MB of hashes that do not compress, in one task.
+    rows = spark.range(0, 1_000_000, 1, 1).select("id", F.xxhash64("id").alias("h"))
+    for parts in (None, ["p"]):
+        staged = stage_table(rows.withColumn("p", F.lit(1)), "groups", parts)
+        (file,) = staged.inputFiles()
+        groups = pq.ParquetFile(file.removeprefix("file:").replace("///", "/")).metadata
+        sizes = [groups.row_group(i).total_byte_size for i in range(groups.num_row_groups)]
+        assert len(sizes) > 4 and max(sizes) < 4 << 20
+        assert staged.select("id", "h").exceptAll(rows).count() == 0 and staged.count() == 1_000_000
+
+
 def test_class_counts_of_long_texts_use_little_memory():
     texts = pa.array(["a" * 10 + "!#", None, "", "x! " * 5_000_000, "Q1."])
     data, offsets = kernel.utf8(texts)
